@@ -7,7 +7,10 @@ import uuid
 
 import numpy as np
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -38,6 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keeps ``df`` on the executors' disks for later reads; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def release(*frames: DataFrame) -> None:
+    for df in frames:
+        df.unpersist()
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes a table made by ``materialize`` once nothing will read it again."""
     path = getattr(df, "_evenkeel_path", None)
@@ -53,6 +66,22 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def extended(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df with more columns; a schema's own add() would change it in place."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{n} {k}" for n, k in kinds.items())).fields])
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one struct, so that no name clashes with those an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_one")).alias("_others"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs back from rows made of ``wrapped`` ones."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c).alias(c) for c in docs.columns])
+
+
 class WordHashes(dict):
     """Word -> 64-bit hash, as a cache of bounded size."""
 

@@ -3,18 +3,84 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pq import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import repaired
+
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    mix = mixed(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hosts import judged, labelled_pages
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ogg import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+#: Shards of op8_sharding.
+SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import placed
+
+    return placed(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", SHARDS)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
