@@ -1 +1 @@
-
+"""Column functions: portable hashing, the grid, random keys."""

@@ -1 +1 @@
-
+"""Detectors, routers, joins and metrics."""

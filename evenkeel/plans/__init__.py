@@ -1 +1 @@
-
+"""Strategies and the registered queries."""

@@ -1 +1 @@
-
+"""Readers, fixtures, generators."""

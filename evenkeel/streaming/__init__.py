@@ -1 +1 @@
-
+"""Skew joins of streams."""
