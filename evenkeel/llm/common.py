@@ -41,6 +41,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for a table of small rows: two files for each core of the cluster at most."""
+    return materialize(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keeps ``df`` on the executors' disks for later reads; what a lost executor held is computed again."""
     return df.persist(StorageLevel.DISK_ONLY)

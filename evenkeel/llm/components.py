@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, settle
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
@@ -40,10 +40,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     number grows with the logarithm of the longest path.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
-    now = materialize(now, "edges")
+    now = settle(now, "edges")
     state = _state(now)
     while state[0]:
-        new = materialize(_round(now), "edges")
+        new = settle(_round(now), "edges")
         discard(now)
         now, before, state = new, state, _state(new)
         if before == state:

@@ -8,11 +8,14 @@ second permutation, so a signature is an element-wise minimum over windows.
 Candidates share a band. They are verified in two passes, so that large groups don't make all
 pairs: first each member of a bucket with the bucket's smallest member, then, once the components
 of those links are known, every remaining pair of a bucket whose ends are in different
-components. Pairs inside a component need no check, since they can't change a component.
+components. Pairs inside a component need no check, since they can't change a component. Before
+that, a sketch of one bit for each of 1536 further coordinates rules out pairs whose bits differ
+more often than five standard deviations above what similar enough pairs do.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from functools import lru_cache
 
@@ -22,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, mix, shingles, words_of
+from .common import bounded_batches, discard, hold, mix, release, settle, shingles, words_of
 from .components import connected_components
 
 D = 1 << 16
 BANDS, ROWS = 44, 7
+SKETCH = 1536
+#: Ids of 8 bytes that are broadcast at most.
+BROADCAST_IDS = 1 << 20
 
 
 @lru_cache
@@ -71,6 +77,23 @@ def _signed(batches, k: int, bands: int, rows: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
 
 
+def _sketched(batches, k: int):
+    for b in batches:
+        ids, rows = [], []
+        for u, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            if len(x := shingles(words_of(text), k)):
+                ids.append(u)
+                rows.append(np.packbits((signature(x, SKETCH, seed=8) & 1).astype(np.uint8)).view(np.int64))
+        longs = np.array(rows, np.int64).reshape(len(ids), SKETCH // 64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in longs.T)], ["id", *(f"s{i}" for i in range(SKETCH // 64))])
+
+
+def _may_differ(percent: int) -> int:
+    """Bits of two sketches that may differ: their mean at this similarity plus five standard deviations."""
+    p = (1 - percent / 100) / 2
+    return math.ceil(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
 def _checked(batches, k: int, percent: int):
     """Pairs whose full sets are similar enough. The sets last used are kept, as stars repeat one end."""
     kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -94,9 +117,18 @@ def _checked(batches, k: int, percent: int):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with ids (id), a written table, broadcast if counted as few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").select("doc_id", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (u, v) whose shingle sets have 100 * intersection >= percent * union."""
-    text = docs.select("doc_id", "text")
+    """Those of written pairs (u, v) whose shingle sets have 100 * intersection >= percent * union.
+
+    Only texts of documents in pairs are moved.
+    """
+    text = _texts(docs, settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids"))
     left = pairs.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = left.join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
     return both.mapInArrow(lambda it: _checked(it, k, percent), "u long, v long")
@@ -122,38 +154,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = materialize(docs.mapInArrow(lambda it: _signed(it, k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = hold(docs.mapInArrow(lambda it: _signed(it, k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     sized = signed.where("doc_id is not null and digest is not null")
     # Copies: one representative stands for equal word sequences; the minimum combines before its shuffle.
-    heads = sized.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("h"), F.count("*").alias("copies"), F.max("doc_id").alias("last"))
-    heads = materialize(heads.select("digest", "h.*", "copies", "last"), "heads")
+    heads = sized.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("h")).select("h.*")
     bucketed = heads.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = bucketed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.count("*").alias("n")).where("n > 1")
     shared = shared.select((F.col("key") + F.lit(0)).alias("k"), F.col("m.doc_id").alias("v"), F.col("m.n_shingles").alias("n_v"))
-    members = materialize(bucketed.join(shared, bucketed.key == shared.k).select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), "v", "n_v"), "members")
+    members = hold(bucketed.join(shared, bucketed.key == shared.k).select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), "v", "n_v"))
 
-    star = materialize(members.where((F.col("u") != F.col("v")) & _near(F.col("n_u"), F.col("n_v"), percent)).select("u", "v").distinct(), "star")
-    links = materialize(verified(star, docs, k, percent), "links")
-    found = materialize(connected_components(links), "found")
+    star = settle(members.where((F.col("u") != F.col("v")) & _near(F.col("n_u"), F.col("n_v"), percent)).select("u", "v").distinct(), "star")
+    links = settle(verified(star, docs, k, percent), "links")
+    found = connected_components(links)
 
     named = members.join(found.withColumnRenamed("node", "u"), "u", "left").select("key", "u", "n_u", F.coalesce("component", "u").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select((F.col("key") + F.lit(0)).alias("k"))
-    open_ = materialize(named.join(mixed, named.key == mixed.k, "left_semi"), "open")
-    other = open_.select(F.col("key").alias("key_v"), F.col("u").alias("v"), F.col("n_u").alias("n_v"), F.col("c").alias("c_v"))
-    rest = open_.join(other, (F.col("key") == F.col("key_v")) & (F.col("u") > F.col("v")) & (F.col("c") != F.col("c_v")) & _near(F.col("n_u"), F.col("n_v"), percent))
-    rest = rest.select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    more = verified(rest, docs, k, percent)
-    again = sized.where("false").select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v"))
-    # Rows that repeat an id with other texts: the id ties its digests together.
+    open_ = settle(named.join(mixed, named.key == mixed.k, "left_semi"), "open")
+    bits = [f"s{i}" for i in range(SKETCH // 64)]
+    shared_by = settle(open_.groupBy(F.col("u").alias("id")).agg(F.collect_list("key").alias("keys")), "keys")  # bands keys at most
+    sketches = _texts(docs, shared_by.select("id")).mapInArrow(lambda it: _sketched(it, k), "id long, " + ", ".join(f"{x} long" for x in bits))
+    one = open_.join(sketches.join(shared_by, "id").withColumnRenamed("id", "u"), "u")
+    two = one.select(*[F.col(c).alias(f"{c}_v") for c in one.columns])
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_v"))) for x in bits), F.lit(0))
+    # A pair is looked at in its first common bucket only.
+    first = F.array_min(F.array_intersect("keys", "keys_v")) == F.col("key")
+    rest = one.join(two, (F.col("key") == F.col("key_v")) & (F.col("u") > F.col("u_v")) & (F.col("c") != F.col("c_v")) & _near(F.col("n_u"), F.col("n_u_v"), percent) & (differ <= _may_differ(percent)) & first)
+    rest = settle(rest.select("u", F.col("u_v").alias("v")).distinct(), "rest")
+    edges = links.unionByName(verified(rest, docs, k, percent))
+    # Rows that repeat an id with other texts: the id ties its texts together.
     ids = sized.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     if not ids.isEmpty():
-        # A node's text is that of any of its rows, so its links are found by text; ids only join what was found.
-        again = sized.join(ids, "doc_id", "left_semi").join(heads.select("digest", F.col("doc_id").alias("v")), "digest").select(F.col("doc_id").alias("u"), "v")
-    final = materialize(connected_components(links.unionByName(more).unionByName(again)), "components")
-    for x in (members, star, links, found, open_):
+        first = sized.groupBy("digest").agg(F.min("doc_id").alias("v"))
+        edges = edges.unionByName(sized.join(ids, "doc_id", "left_semi").join(first, "digest").select(F.col("doc_id").alias("u"), "v"))
+    final = connected_components(edges)
+    release(members)
+    for x in (star, links, open_, shared_by, rest):
         discard(x)
     # Only digests that are copied or linked need a join; the others are components of themselves.
-    merged = heads.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"), "doc_id", "last")
+    copies = sized.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    merged = copies.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"), "doc_id", "last")
     merged = merged.where("component <> doc_id or doc_id <> last").select(F.concat("digest", F.lit(b"")).alias("d"), "component")
     out = signed.select("doc_id", "n_shingles", "digest").join(merged, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
