@@ -185,11 +185,12 @@ def media_column(docs: DataFrame, column: str = "media") -> DataFrame:
     """docs with its text as Ogg bytes in a binary column."""
     bounded_batches(docs.sparkSession, 256)
     kept = docs.drop(column)
+    names = [*kept.columns, column]
 
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array([write(padded(t or b"")) for t in texts], pa.binary())], [*kept.columns, column])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array([write(padded(t or b"")) for t in texts], pa.binary())], names)
 
     return kept.mapInArrow(run, extended(kept, **{column: "binary"}))
 

@@ -86,4 +86,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash, sample, compress or tokenise, which SQL can't; tests hold them against brute force."""
+    from . import oracles, sharding
+
+    return {"op1_pq": oracles.OP1, "op6_urls": oracles.op6(), "op8_sharding": oracles.op8(sharding.fill(SHARDS)), "op9_minhash": oracles.OP9}

@@ -1,0 +1,132 @@
+import random
+
+import numpy as np
+import pytest
+
+from evenkeel.llm.common import shingles, words_of
+from evenkeel.llm.components import connected_components
+from evenkeel.llm.minhash import D, _windows, deduplicated, near_duplicates, signature
+
+SCHEMA = "doc_id long, text string, source string"
+
+
+def brute(rows, k, percent):
+    """component by doc_id, from exact sets of word tuples."""
+
+    def shingle_set(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    sets, parent = {}, {}
+    for i, t, *_ in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(shingle_set(t))
+            parent[i] = i
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {i: root(i) for i in ids}
+
+
+def corpus(seed, families=6, copies=8, words=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, i = [], 0
+    for _ in range(families):
+        base = rng.choices(vocabulary, k=words)
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(len(t))] = rng.choice(vocabulary)
+            rows.append((i, (" " if rng.random() < 0.5 else "\n").join(t).upper() if rng.random() < 0.3 else " ".join(t), "s"))
+            i += 3
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("k,percent,seed", [(3, 85, 1), (5, 80, 2)])
+def test_equals_brute_force(spark, k, percent, seed):
+    rows = corpus(seed) + [(900, None, "s"), (901, "", "s"), (902, " \t\n", "s"), (903, "one two", "s"), (904, "ONE\ttwo", "s"), (905, "one", None), (906, "é " * 5000, "s")]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA), k, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute(rows, k, percent)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out) and len(out) == len(rows)
+    n = {r["doc_id"]: r["n_shingles"] for r in out}
+    assert (n[900], n[901], n[902], n[903], n[905], n[906]) == (0, 0, 0, 1, 1, 1)
+
+
+def test_large_group_whose_first_member_is_far(spark):
+    """Links that the star at the smallest member misses are found in the second pass."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    far = base[:60] + [f"x{i}" for i in range(20)]
+    rows = [(0, " ".join(far), "s")]
+    for i in range(1, 60):
+        t = list(base)
+        t[rng.randrange(80)] = f"y{i}"
+        rows.append((i, " ".join(t), "s"))
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute(rows, 3, 85)
+
+
+def test_nulls_and_repeated_rows(spark):
+    text = " ".join(f"a{i}" for i in range(20))
+    rows = [(None, text, "s"), (None, None, None), (5, text, "s"), (5, text, "s"), (7, text, "t"), (8, "other words here now", "t"), (8, text, "t")]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert len(out) == 7
+    assert all(r["component_id"] == 5 for r in out if r["doc_id"] is not None)
+    assert all(r["kept"] and r["component_id"] is None for r in out if r["doc_id"] is None)
+    kept = deduplicated(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [5] and sum(r["doc_id"] is None for r in kept) == 2
+
+
+def test_empty_and_clashing_columns(spark):
+    assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = spark.createDataFrame([(1, "a b c d e f", 9, "x"), (2, "a b c d e f", 9, "y")], "doc_id long, text string, component_id int, digest string")
+    out = deduplicated(rows)
+    assert out.columns == rows.columns and [r["doc_id"] for r in out.collect()] == [1]
+
+
+def test_signature_is_circulant():
+    """Coordinate k is the least of the second permutation shifted by k, over the set's places."""
+    rng = np.random.RandomState(0)
+    perm = np.random.RandomState(7).permutation(D)
+    rows = _windows(50, 7)
+    for p in rng.randint(0, D, 20):
+        assert [perm[(p - k) % D] for k in range(49, -1, -1)] == rows[p].tolist()
+    a = shingles(words_of(b"the quick brown fox jumps over the lazy dog " * 3), 3)
+    assert (signature(a, 64) == signature(a[::-1].copy(), 64)).all()
+
+
+def test_signature_estimates_jaccard():
+    rng = np.random.RandomState(2)
+    x = rng.randint(0, 1 << 62, 300).astype(np.uint64)
+    y = np.concatenate([x[:240], rng.randint(0, 1 << 62, 60).astype(np.uint64)])
+    assert abs((signature(x, 1536) == signature(y, 1536)).mean() - 240 / 360) < 0.05
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    out = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r["node"]: r["component"] for r in out} == {i: root(i) for i in parent} and len(out) == len(parent)
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0

@@ -1,0 +1,62 @@
+import math
+
+import numpy as np
+import pytest
+
+from evenkeel.llm.pq import near_vectors
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, cosine):
+    links, parent = {r[0]: 0 for r in rows}, {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ok = [(i, np.asarray(e, np.float32).astype(float), c) for i, e, c in rows if c is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e)]
+    for n, (i, x, c) in enumerate(ok):
+        for j, y, d in ok[:n]:
+            if c == d and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= cosine:
+                links[i] += 1
+                links[j] += 1
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return {i: (links[i], root(i)) for i in links}
+
+
+def vectors(seed, n=300, dim=16, labels=3):
+    rng = np.random.RandomState(seed)
+    centres = rng.randn(12, dim)
+    rows = []
+    for i in range(n):
+        x = centres[rng.randint(12)] + rng.randn(dim) * rng.choice([0.1, 0.3, 1.0])
+        rows.append((i * 2, [float(v) for v in x.astype(np.float32)], int(rng.randint(labels))))
+    rows += [(1001 + i, rows[i][1], rows[i][2]) for i in range(0, 40, 2)]
+    return rows
+
+
+@pytest.mark.parametrize("seed,cosine,block", [(1, 0.93, 2048), (2, 0.93, 16), (3, 0.8, 40)])
+def test_equals_brute_force(spark, seed, cosine, block):
+    nan = float("nan")
+    rows = vectors(seed) + [(5001, None, 1), (5003, [0.0] * 16, 1), (5005, [nan] * 16, 1), (5007, [1.0] * 15 + [None], 1), (5009, [1.0] * 16, None), (5011, [], 1), (5013, [1.0, 2.0], 1), (5015, [2.0, 4.0], 1)]
+    out = near_vectors(spark.createDataFrame(rows, SCHEMA), cosine, block).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows, cosine)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out)
+
+
+def test_hot_group_of_near_and_exact_copies(spark):
+    rng = np.random.RandomState(5)
+    base = rng.randn(8)
+    rows = [(i, [float(v) for v in base + (rng.randn(8) * 0.05 if i % 2 else 0)], 1) for i in range(200)]
+    out = near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, 32).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows, 0.93)
+
+
+def test_empty_nulls_and_extra_columns(spark):
+    assert near_vectors(spark.createDataFrame([], SCHEMA), 0.93).count() == 0
+    rows = spark.createDataFrame([(None, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 5), (2, [0.0, 1.0], 1, 5)], SCHEMA + ", n_links int")
+    out = sorted((tuple(r) for r in near_vectors(rows, 0.93).collect()), key=str)
+    assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)]
