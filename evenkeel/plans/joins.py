@@ -28,6 +28,38 @@ def heavy_keys(rows: DataFrame, on: list[str], ratio: float, floor: int) -> Data
     return counts.where(F.col("cnt") > max(floor, int(n * ratio)))
 
 
+class Hot:
+    """A collected set of hot keys, as a test of rows.
+
+    Keys of one column become literals, tested in the scan's own stage; sets of several columns, or too
+    large for literals, are broadcast.
+    """
+
+    LITERALS = 2000
+
+    def __init__(self, found: DataFrame, on: list[str]):
+        self.on, self.rows = on, found.collect()
+        self.frame = found.sparkSession.createDataFrame(self.rows, found.schema)
+        self.values = list({r[on[0]] for r in self.rows}) if len(on) == 1 and len(self.rows) <= self.LITERALS else None
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
+
+    def of(self, rows: DataFrame, hot: bool) -> DataFrame:
+        """The rows whose key is in the set, or isn't. Rows with a null key are neither or cold; they join nothing."""
+        if self.values is None:
+            return rows.join(F.broadcast(self.frame.select(*self.on).distinct()), self.on, "left_semi" if hot else "left_anti")
+        inside = F.col(self.on[0]).isin(self.values) if self.values else F.lit(False)
+        return rows.where(inside if hot else ~inside)
+
+    def marked(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with a boolean column."""
+        if self.values is None:
+            keys = self.frame.select(*self.on).distinct().withColumn(name, F.lit(True))
+            return rows.join(F.broadcast(keys), self.on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        return rows.withColumn(name, F.coalesce(F.col(self.on[0]).isin(self.values), F.lit(False)) if self.values else F.lit(False))
+
+
 def _few(rows: DataFrame) -> bool:
     """Counted, not estimated; counting stops beyond the bound."""
     return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -78,27 +110,23 @@ def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], strategy: s
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
     columns = [*on, *(c for c in big.columns if c not in on), *(c for c in small.columns if c not in on)]
     found = heavy if heavy is not None else heavy_keys(big, on, ratio, floor)
-    # Fewer than 1 / ratio rows: collected once, so that the keys aren't counted again by each use.
-    hot = spark.createDataFrame(found.collect(), found.schema)
-    keys = F.broadcast(hot.select(*on).distinct())
-    if hot.isEmpty() and strategy in ("auto", "prpd", "pnr", "bnr"):
+    hot = Hot(found, on)  # fewer than 1 / ratio keys
+    if not hot and strategy in ("auto", "prpd", "pnr", "bnr"):
         return plain(big, small, on).select(*columns)
     if strategy == "bnr":
-        return _planned(big, small, on, hot, n, tolerance, ratio).select(*columns)
+        return _planned(big, small, on, hot.frame, n, tolerance, ratio).select(*columns)
     if strategy == "pnr":
-        return _salted(big, small, on, keys, n).select(*columns)
-    light = plain(big.join(keys, on, "left_anti"), small, on).select(*columns)
-    big_hot, small_hot = big.join(keys, on, "left_semi"), small.join(keys, on, "left_semi")
+        return _salted(big, small, on, hot, n).select(*columns)
     if strategy in ("auto", "prpd"):
-        return light.unionByName(_kept(big_hot, small_hot, on, n, columns))
-    return _by_class(big, small, on, keys, n, ratio, floor, columns)
+        light = plain(hot.of(big, False), hot.of(small, False), on).select(*columns)
+        return light.unionByName(_kept(hot.of(big, True), hot.of(small, True), on, n, columns))
+    return _by_class(big, small, on, hot, n, ratio, floor, columns)
 
 
-def _salted(big: DataFrame, small: DataFrame, on: list[str], keys: DataFrame, n: int) -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int) -> DataFrame:
     """One join: hot big rows by a salt, their small rows copied to each; others have salt 0."""
-    mark = keys.withColumn("_hot", F.lit(True))
-    b = big.join(mark, on, "left").withColumn("_bucket", F.when(F.col("_hot"), _salt(big, n)).otherwise(0)).drop("_hot")
-    s = small.join(mark, on, "left").withColumn("_bucket", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    b = hot.marked(big, "_hot").withColumn("_bucket", F.when(F.col("_hot"), _salt(big, n)).otherwise(0)).drop("_hot")
+    s = hot.marked(small, "_hot").withColumn("_bucket", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return b.join(s.hint("shuffle_hash"), [*on, "_bucket"]).drop("_bucket")
 
 
@@ -114,13 +142,15 @@ def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, n:
     return b.join(s.hint("shuffle_hash"), [*on, "_bucket"]).drop("_bucket")
 
 
-def _by_class(big: DataFrame, small: DataFrame, on: list[str], hot_big: DataFrame, n: int, ratio: float, floor: int, columns: list[str]) -> DataFrame:
-    """Four joins, by the side or sides on which a key is hot."""
-    found = heavy_keys(small, on, ratio, floor).select(*on)
-    hot_small = F.broadcast(big.sparkSession.createDataFrame(found.collect(), found.schema))
-    split = lambda x, b, s: x.join(hot_big, on, "left_semi" if b else "left_anti").join(hot_small, on, "left_semi" if s else "left_anti")
-    light = plain(split(big, False, False), split(small, False, False), on).select(*columns)
-    probe = _kept(split(big, True, False), split(small, True, False), on, n, columns)
-    build = _kept(split(small, False, True), split(big, False, True), on, n, columns)
-    both = crossed(split(big, True, True), split(small, True, True), on, n).select(*columns)
-    return light.unionByName(probe).unionByName(build).unionByName(both)
+def _by_class(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, n: int, ratio: float, floor: int, columns: list[str]) -> DataFrame:
+    """Four joins, by the side or sides on which a key is hot; classes without keys have no join."""
+    hot_small = Hot(heavy_keys(small, on, ratio, floor).select(*on), on)
+    split = lambda x, b, s: hot_small.of(hot_big.of(x, b), s)
+    out = plain(split(big, False, False), split(small, False, False), on).select(*columns)
+    if hot_big:
+        out = out.unionByName(_kept(split(big, True, False), split(small, True, False), on, n, columns))
+    if hot_small:
+        out = out.unionByName(_kept(split(small, False, True), split(big, False, True), on, n, columns))
+    if hot_big and hot_small:
+        out = out.unionByName(crossed(split(big, True, True), split(small, True, True), on, n).select(*columns))
+    return out
