@@ -9,6 +9,7 @@ their class, and what is left is laid end to end and cut at window ends.
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Sequence
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hold
+from .common import bounded_batches, emptying, hold
 
 EOD = 2
 
@@ -30,36 +31,117 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Chunks(dict):
-    """White-space-free chunk -> its ids as bytes. This tokenizer drops white space, so ids of a text
-    are those of its chunks in order; few distinct chunks make most of a corpus."""
+class Encoder:
+    """Ids of texts by way of their white-space-free chunks.
 
-    LIMIT = 300_000
-
-    def __init__(self, path: str, dtype):
-        self.encode, self.dtype = _tokenizer(path).encode, dtype
+    This tokenizer drops white space, so ids of a text are those of its chunks in order, and most
+    chunks of a corpus have been met before. New words are encoded together and told apart by the ids
+    that end words; other new chunks are joined by a mark whose one id none of them has. Chunks are kept in two generations of bounded size: when the young one
+    is full it becomes the old one, and what is met again moves back.
+    """
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    LIMIT = 120_000
+    #: Characters whose words are looked up at a time.
+    CHARS = 2_000_000
+
+    def __init__(self, path: str):
+        self.encode = _tokenizer(path).encode
+        self.dtype = np.dtype("<u2") if _tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.mark, self.mark_id = next((c, ids[0]) for c in "\u2605\u2665\u2022\u2026\u2192\u25ba" if len(ids := self._ids(c)) == 1)
+        vocabulary = _tokenizer(path).get_vocab()
+        self.last, self.marked = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marked[self.mark_id] = True
+        self.eod = np.array([EOD], self.dtype).tobytes()
+        self.young, self.old = {}, {}
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.encode(text, add_special_tokens=False).ids
+
+    def _chunks(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # as the tokenizer does anyway; beyond Latin-1, Python's rules aren't its own
+        except UnicodeEncodeError:
+            pass
+        # str.split() also splits at these four, which the tokenizer doesn't take for white space.
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return text.replace("\n", " ").split(" ") if odd else text.split()
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Has all of chunks in the young generation."""
+        if len(self.young) > self.LIMIT:
+            self.young, self.old = {}, self.young
+        new = chunks - self.young.keys()
+        again = new & self.old.keys()
+        for c in again:
+            self.young[c] = self.old[c]
+        words, plain, tails = set(), [], []
+        for c in new - again:
+            if c.isalpha():
+                words.add(c)
+            elif (stem := c.rstrip(string.punctuation)).isalpha():
+                # A run of punctuation behind a word is a token sequence of its own.
+                tails.append((c, stem, c[len(stem) :]))
+                if stem not in self.young:
+                    words.add(stem)
+            elif self.mark in c or "<|" in c or len(c) > 200:
+                self.young[c] = np.array(self._ids(c), self.dtype).tobytes()
+            else:
+                plain.append(c)
+        self._encode(list(words), " ", self.last, 0)
+        self._encode(plain, f" {self.mark} ", self.marked, 1)
+        for c, stem, tail in tails:
+            if tail not in self.young:
+                self.young[tail] = np.array(self._ids(tail), self.dtype).tobytes()
+            self.young[c] = self.young[stem] + self.young[tail]
+
+    def _encode(self, chunks: list[str], between: str, ending: np.ndarray, skip: int) -> None:
+        """Ids of chunks encoded together. ``ending`` tells the ids after which the next chunk comes; ``skip`` of them are no part of a chunk."""
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            ids = np.array(self._ids(between.join(part)), self.dtype)
+            ends = np.nonzero(ending[ids])[0] + 1 - skip
+            if skip:
+                ends = np.append(ends, len(ids))
+            if len(ends) != len(part):  # no such chunk is known
+                for c in part:
+                    self.young[c] = np.array(self._ids(c), self.dtype).tobytes()
+                continue
+            data, size, start = ids.tobytes(), self.dtype.itemsize, 0
+            for c, end in zip(part, ends.tolist()):
+                self.young[c] = data[start * size : end * size]
+                start = end + skip
+
+    def encoded(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and EOD, as little-endian bytes."""
+        out, at = [], 0
+        while at < len(texts):
+            lists, n = [], 0
+            while at < len(texts) and n < self.CHARS:
+                lists.append(self._chunks(texts[at]))
+                n += len(texts[at] or "")
+                at += 1
+            self._learn(set().union(*lists))
+            get = self.young.__getitem__
+            out += [b"".join([*map(get, chunks), self.eod]) for chunks in lists]
+        return out
 
 
 @lru_cache(maxsize=2)
-def _chunks(path: str) -> _Chunks:
-    return _Chunks(path, np.dtype("<u2") if _tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4"))
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a text, ended by EOD."""
-    chunks, text = _chunks(path), text or ""
-    # str.split() also splits at these four, which the tokenizer doesn't take for white space.
-    odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-    data = b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" ") if odd else text.split()))
-    return np.append(np.frombuffer(data, chunks.dtype), np.array(EOD, chunks.dtype))
+    e = _encoder(path)
+    return np.frombuffer(e.encoded([text])[0], e.dtype)
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -67,11 +149,12 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        encoder = _encoder(path)
         for b in batches:
-            ids = [token_ids(t, path) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "row", "doc_tokens", "ids"])
+            ids = encoder.encoded(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, row long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(lambda it: emptying(_encoder(path), run(it)), "doc_id long, row long, doc_tokens long, ids binary")
 
 
 def combinations(classes: int) -> np.ndarray:
@@ -161,6 +244,8 @@ def _ranked(pieces: DataFrame, by: Sequence[str], value, buckets: int) -> DataFr
 def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
     """Pieces (row, start, length, sequence_id, offset) of rows (row, doc_tokens), row being unique."""
     spark = lengths.sparkSession
+    if window % unit:
+        raise ValueError("unit must divide window")
     full = F.floor(F.col("doc_tokens") / window)
     n_full, n_rows = lengths.agg(F.coalesce(F.sum(full), F.lit(0)), F.count("*")).first()
     buckets = max(1, -(-n_rows // 4096))
@@ -171,7 +256,7 @@ def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
     tails = lengths.select("row", (full * window).alias("start"), (F.col("doc_tokens") - full * window).alias("length")).where("length > 0")
     tails = tails.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     histogram = {r["class"]: r["count"] for r in tails.groupBy("class").count().collect()}  # window / unit rows at most
-    slots = plan(histogram, -(-window // unit))
+    slots = plan(histogram, window // unit)
     n_planned = max((first + hi - lo for _, lo, hi, first, _ in slots), default=0)
     # Three slots for a combination at most: about classes^2 / 4 rows, whatever the number of documents.
     table = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "c int, lo long, hi long, first long, slot int"))
@@ -221,7 +306,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 4096, unit: int = 8, w
     pieces = placed(tokens.select("row", "doc_tokens"), window, unit)
     # One row for each document: a long one is not repeated for each of its pieces.
     held = pieces.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    dtype = _chunks(tokenizer).dtype
+    dtype = _encoder(tokenizer).dtype
     rows = tokens.join(held, F.col("row") == F.col("r")).select("doc_id", "doc_tokens", "ids", "pieces")
     return rows.mapInArrow(lambda it: _pieces(it, dtype, with_ids), PIECE + ", ids binary" * with_ids)
 
