@@ -41,9 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """A table of small rows in two partitions for each core of the cluster at most."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """``materialize`` for a table of small rows: two files for each core of the cluster at most."""
-    return materialize(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), name)
+    """``materialize`` for a table of small rows."""
+    return materialize(few_files(df), name)
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -87,10 +92,18 @@ def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_others").getField(c).alias(c) for c in docs.columns])
 
 
+def emptying(cache, batches):
+    """Yields batches; workers outlive tasks, so a task's cache must not stay in their memory."""
+    try:
+        yield from batches
+    finally:
+        cache.clear()
+
+
 class WordHashes(dict):
-    """Word -> 64-bit hash, as a cache of bounded size."""
+    """Word -> 64-bit hash, as a cache of bounded size, emptied by tasks when they end."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -99,7 +112,7 @@ class WordHashes(dict):
         return h
 
 
-_HASHES = WordHashes()
+HASHES = WordHashes()
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -108,7 +121,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, hold, mix, release, settle, shingles, words_of
+from .common import HASHES, bounded_batches, discard, emptying, hold, mix, release, settle, shingles, words_of
 from .components import connected_components
 
 D = 1 << 16
@@ -128,10 +128,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     Only texts of documents in pairs are moved.
     """
-    text = _texts(docs, settle(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ids"))
+    text = _texts(docs, settle(pairs.select(F.col("u").alias("id")).distinct().union(pairs.select("v").distinct()).distinct(), "ids"))
     left = pairs.join(text.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     both = left.join(text.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(lambda it: _checked(it, k, percent), "u long, v long")
+    return both.mapInArrow(lambda it: emptying(HASHES, _checked(it, k, percent)), "u long, v long")
 
 
 def _near(n, m, percent: int):
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = hold(docs.mapInArrow(lambda it: _signed(it, k, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = hold(docs.mapInArrow(lambda it: emptying(HASHES, _signed(it, k, bands, rows)), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     sized = signed.where("doc_id is not null and digest is not null")
     # Copies: one representative stands for equal word sequences; the minimum combines before its shuffle.
     heads = sized.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("h")).select("h.*")
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     open_ = settle(named.join(mixed, named.key == mixed.k, "left_semi"), "open")
     bits = [f"s{i}" for i in range(SKETCH // 64)]
     shared_by = settle(open_.groupBy(F.col("u").alias("id")).agg(F.collect_list("key").alias("keys")), "keys")  # bands keys at most
-    sketches = _texts(docs, shared_by.select("id")).mapInArrow(lambda it: _sketched(it, k), "id long, " + ", ".join(f"{x} long" for x in bits))
+    sketches = _texts(docs, shared_by.select("id")).mapInArrow(lambda it: emptying(HASHES, _sketched(it, k)), "id long, " + ", ".join(f"{x} long" for x in bits))
     one = open_.join(sketches.join(shared_by, "id").withColumnRenamed("id", "u"), "u")
     two = one.select(*[F.col(c).alias(f"{c}_v") for c in one.columns])
     differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_v"))) for x in bits), F.lit(0))
