@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import few_files
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,7 +84,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
+    """Name -> query; results are small rows, in few files."""
+    own = {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
+    return {n: lambda spark, sf_dir, f=f: few_files(f(spark, sf_dir)) for n, f in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
