@@ -17,26 +17,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, extended, hold, mix, unwrapped, wrapped
+from .common import bounded_batches, emptying, extended, hold, mix, unwrapped, wrapped
 
 BUCKETS = 1 << 16
 _TOKEN = re.compile(rb"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+|[0-9A-Za-z\x80-\xff]+")
 _REPEAT, _CAPS = 1, 2
 SLACK = 3.0
+#: Clean labelled documents that target texts and the level are taken from, about so many at most; their ids are broadcast.
+LABELS = 200_000
 
 
 class _Tokens(dict):
     """Token -> hash. Words in capitals of three letters or more share one symbol, as they say style, not topic."""
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         word = token.decode("utf-8", "replace")
         h = self[token] = _CAPS if len(word) > 2 and word.isupper() else xxhash.xxh3_64_intdigest(token)
         return h
 
 
-_TOKENS = _Tokens()
+TOKENS = _Tokens()
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -44,7 +46,7 @@ def features(text: bytes | None) -> np.ndarray:
     tokens = _TOKEN.findall(text) if text else []
     if not tokens:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_TOKENS.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(TOKENS.__getitem__, tokens), np.uint64, len(tokens))
     again = h[1:] == h[:-1]
     h[1:][again & (h[1:] != _CAPS)] = _REPEAT
     with np.errstate(over="ignore"):
@@ -74,7 +76,7 @@ def fit(docs: DataFrame, good, prior: float = 10.0) -> np.ndarray:
     target texts every ratio is 0.
     """
     bounded_batches(docs.sparkSession)
-    counts = docs.select("text", F.coalesce(good, F.lit(False)).alias("good")).mapInArrow(_counted, "bucket long, raw long, target long")
+    counts = docs.select("text", F.coalesce(good, F.lit(False)).alias("good")).mapInArrow(lambda it: emptying(TOKENS, _counted(it)), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toLocalIterator():
         raw[r[0]], target[r[0]] = r[1], r[2]
@@ -97,7 +99,7 @@ def scored(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             got = [features(t) for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array([len(f) for f in got], pa.int64()), pa.array([float(ratios[f].sum()) for f in got], pa.float64())], names)
 
-    return kept.mapInArrow(run, extended(kept, n_grams="long", log_weight="double"))
+    return kept.mapInArrow(lambda it: emptying(TOKENS, run(it)), extended(kept, n_grams="long", log_weight="double"))
 
 
 def gumbel(seed: int, *columns: str):
@@ -153,10 +155,12 @@ def _learnt(docs: DataFrame, labels: DataFrame, seed: int, keep_clean: float, fo
     fold = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(folds)) == 0
     clean = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)
     label = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(clean).alias("clean")).where("clean").select("id")
-    known = docs.select("doc_id", "text").join(label.where(~fold("id")), F.col("doc_id") == F.col("id"), "left")
+    share = min(1.0, LABELS / max(1, label.count()))
+    label = hold(label.where(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    known = docs.select("doc_id", "text").join(F.broadcast(label.where(~fold("id"))), F.col("doc_id") == F.col("id"), "left")
     ratios = fit(known, F.col("id").isNotNull())
     rows = hold(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "n_grams", "log_weight", F.xxhash64("text").alias("h")))
-    left_out = _keyed(rows.where(fold("doc_id")), seed, 0.0).join(label, F.col("doc_id") == F.col("id"), "left_semi")
+    left_out = _keyed(rows.where(fold("doc_id")), seed, 0.0).join(F.broadcast(label), F.col("doc_id") == F.col("id"), "left_semi")
     n, spread = left_out.agg(F.count("mean"), F.stddev_pop("mean")).first()
     level = None
     if n:
@@ -176,7 +180,7 @@ def _selected(limit: float):
 def judged(docs: DataFrame, labels: DataFrame, seed: int = 5, keep_clean: float = 0.99, folds: int = 4) -> DataFrame:
     """(doc_id, n_grams, log_weight, sample_key, selected) for each row of docs (doc_id, text).
 
-    Clean documents are those labelled quality 1 and toxic 0. Target texts are clean ones but for
+    Clean documents are those labelled quality 1 and toxic 0, of which LABELS are used at most. Target texts are clean ones but for
     one fold in ``folds`` by a hash of the id; raw texts are all. sample_key is the mean log ratio of
     a document's n-grams plus a Gumbel variate, scaled to a hundredth of the spread of the fold left
     out, and the k rows of largest key are selected; k is the number of rows whose mean ratio
