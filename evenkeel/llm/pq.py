@@ -7,8 +7,11 @@ pair of lists, the distance from a vector to another's code comes from lookup ta
 other's stored coding error bounds how far that is from the truth, so a pair is dropped only if it
 can't be a link. What remains is decided by its exact cosine in double precision.
 
-Equal vectors are one node with a weight. Lists are cut into blocks of bounded size, and blocks are
-met in pairs, so a list of any size is spread over tasks. A pair of blocks returns at most a row
+Equal vectors are one node with a weight. The core of a list are those within half the link angle of
+its centroid's direction: any two of a core are linked, by the triangle inequality of angles, so a
+core is counted and never compared with itself, however many near copies it holds. Cores and the
+rest of lists are cut into blocks of bounded size, and blocks are met in pairs, so a list of any size
+is spread over tasks. A pair of blocks returns at most a row
 for each of its vectors: its number of links there and the smallest vector it is connected to
 there.
 """
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, release
+from .common import hold
 from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most.
@@ -93,8 +96,13 @@ class Model:
         return [((d[:, p][:, None, :] - w[None]) ** 2).sum(2) for p, w in zip(self.parts, self.words)]
 
 
-def _sent(batches, models, t: float):
-    """Each vector with the lists it must be compared in: its own, and those whose border is near enough."""
+def _sent(batches, models, cosine: float):
+    """Each vector with the parts it must be compared in, of its own list and of those whose border is near enough.
+
+    Part 2 c is the core of list c, part 2 c + 1 the rest of it.
+    """
+    t = math.sqrt(max(0.0, 2 - 2 * cosine))
+    inner = math.cos(max(0.0, math.acos(max(-1.0, min(1.0, cosine))) / 2 - 1e-6))
     for b in batches:
         dims = b.column(2).to_numpy()
         rows, other, own = [], [], []
@@ -107,10 +115,15 @@ def _sent(batches, models, t: float):
             gap = np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1)))[home]
             near = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * gap * t + 1e-9
             near[np.arange(len(x)), home] = True
+            norms = np.sqrt((c * c).sum(1))[home]
+            core = ((x * c[home]).sum(1) >= inner * norms) & (norms > 0)
+            part = 2 * home + ~core
             i, j = np.nonzero(near)
-            rows.append(at[i])
-            other.append(j)
-            own.append(home[i])
+            i, j = np.concatenate([i, i]), np.concatenate([2 * j, 2 * j + 1])
+            keep = ~(core[i] & (j == part[i]))
+            rows.append(at[i[keep]])
+            other.append(j[keep])
+            own.append(part[i[keep]])
         if rows:
             at = pa.array(np.concatenate(rows))
             cols = [b.column(k).take(at) for k in range(b.num_columns)]
@@ -121,7 +134,7 @@ _LINKS = pa.schema([("u", pa.int64()), ("n", pa.int64()), ("v", pa.int64())])
 
 
 def _compared(group: pa.Table, models, cosine: float, t: float) -> pa.Table:
-    """Links between two blocks, or in one block, of lists low and high."""
+    """Links between two blocks, or in one block, of parts low and high."""
     dim, lo, hi = (group.column(c)[0].as_py() for c in ("dim", "low", "high"))
     ids, w = group.column("vec_id").to_numpy(), group.column("w").to_numpy()
     x = np.frombuffer(b"".join(group.column("v").to_pylist())).reshape(len(ids), dim)
@@ -132,11 +145,11 @@ def _compared(group: pa.Table, models, cosine: float, t: float) -> pa.Table:
     if len(a) and len(b):
         model = models.get(dim)
         if model is not None:
-            codes, error = model.coded(x[b], np.full(len(b), hi))
+            codes, error = model.coded(x[b], np.full(len(b), hi // 2))
         for i in range(0, len(a), 256):
             q = a[i : i + 256]
             if model is not None:
-                tables = model.table(x[q], hi)
+                tables = model.table(x[q], hi // 2)
                 d2 = tables[0][:, codes[:, 0]]
                 for m in range(1, len(tables)):
                     d2 += tables[m][:, codes[:, m]]
@@ -196,13 +209,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
             models[r["dim"]] = Model(np.frombuffer(b"".join(x)).reshape(len(x), r["dim"]), min(MAX_LISTS, -(-r["n"] // block)))
     shared = spark.sparkContext.broadcast(models)  # bounded by MAX_LISTS and CODES
 
-    sent = nodes.select("vec_id", "label", "dim", "w", "v").mapInArrow(lambda it: _sent(it, shared.value, t), "vec_id long, label string, dim int, w long, v binary, own int, other int")
-    sent = hold(sent)
+    sent = hold(nodes.select("vec_id", "label", "dim", "w", "v").mapInArrow(lambda it: _sent(it, shared.value, cosine), "vec_id long, label string, dim int, w long, v binary, own int, other int"))
     key = ["label", "dim"]
-    filled = sent.where("own = other").groupBy(*key, "own").count().select(*key, F.col("own").alias("list"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    parts = sent.select(*key, "own", "vec_id", "w").distinct()
+    filled = parts.groupBy(*key, F.col("own").alias("list")).agg(F.count("*").alias("count"), F.sum("w").alias("weight"), F.min("vec_id").alias("first"))
+    filled = hold(filled.withColumn("blocks", F.ceil(F.col("count") / block).cast("int")))
+    cores = filled.where("list % 2 = 0").select(*key, F.col("list").alias("own"), "weight", "first")
+    agreed = parts.where("own % 2 = 0").join(cores, [*key, "own"]).select(F.col("vec_id").alias("u"), (F.col("weight") - F.col("w")).alias("n"), F.col("first").alias("v")).where("n > 0")
+    filled = filled.select(*key, "list", "blocks")
     mine = filled.withColumnsRenamed({"list": "own", "blocks": "mine"})
     theirs = filled.withColumnsRenamed({"list": "other", "blocks": "theirs"})
-    # A list that nobody lives in has no blocks, and nothing to compare with: an inner join drops it.
+    # A part that nobody lives in has no blocks, and nothing to compare with: an inner join drops it.
     dealt = sent.join(mine, [*key, "own"]).join(theirs, [*key, "other"])
     me = F.pmod(F.xxhash64("vec_id"), F.col("mine")).cast("int")
     dealt = dealt.withColumn("me", me).withColumn("you", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
@@ -215,6 +232,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
         F.when(same, 2).when(low, 0).otherwise(1).alias("side"),
     )
     found = hold(pairs.groupBy(*key, "low", "low_block", "high", "high_block").applyInArrow(lambda g: _compared(g, shared.value, cosine, t), "u long, n long, v long"))
+    found = found.unionByName(agreed)
     parts = connected_components(found.where("u <> v").select("u", "v"))
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
     named = links.join(parts, F.col("u") == F.col("node"), "left").select("u", "n", "component")
@@ -225,5 +243,4 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
     out = linked.groupBy(F.col("vec_id").alias("id")).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     rows = base.select("vec_id").join(out, F.col("vec_id") == F.col("id"), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    release(sent)
     return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
