@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,6 +51,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return materialize(few_files(df), name)
 
 
+def rekeyed(column: Column) -> Column:
+    """The same long, as an expression that the optimiser doesn't see through.
+
+    A table aggregated by a key is partitioned by it, and a join would keep that partitioning. By a
+    rekeyed column the join exchanges both inputs itself, and may then split hot keys at run time.
+    """
+    return column.bitwiseXOR(F.lit(0))
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keeps ``df`` on the executors' disks for later reads; what a lost executor held is computed again."""
     return df.persist(StorageLevel.DISK_ONLY)

@@ -11,16 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, settle
+from .common import discard, rekeyed, settle
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
     """edges (u, v) with m, the smallest of u and its neighbours v.
 
-    The key of the minima is an expression of u, so that they are exchanged for the join like the
-    edges are; with both inputs exchanged by the join itself, adaptive execution may split hot keys.
+    The minima are rekeyed, so that adaptive execution may split a hub's edges.
     """
-    low = edges.groupBy("u").agg(F.min("v").alias("m")).select((F.col("u") + F.lit(0)).alias("k"), F.least("u", "m").alias("m"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).select(rekeyed(F.col("u")).alias("k"), F.least("u", "m").alias("m"))
     return edges.join(low.hint("merge"), edges.u == low.k).select("u", "v", "m")
 
 

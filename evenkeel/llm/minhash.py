@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, bounded_batches, discard, emptying, hold, mix, release, settle, shingles, words_of
+from .common import HASHES, bounded_batches, discard, emptying, hold, mix, rekeyed, release, settle, shingles, words_of
 from .components import connected_components
 
 D = 1 << 16
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     heads = sized.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("h")).select("h.*")
     bucketed = heads.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = bucketed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select((F.col("key") + F.lit(0)).alias("k"), F.col("m.doc_id").alias("v"), F.col("m.n_shingles").alias("n_v"))
+    shared = shared.select(rekeyed(F.col("key")).alias("k"), F.col("m.doc_id").alias("v"), F.col("m.n_shingles").alias("n_v"))
     members = hold(bucketed.join(shared, bucketed.key == shared.k).select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), "v", "n_v"))
 
     star = settle(members.where((F.col("u") != F.col("v")) & _near(F.col("n_u"), F.col("n_v"), percent)).select("u", "v").distinct(), "star")
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     found = connected_components(links)
 
     named = members.join(found.withColumnRenamed("node", "u"), "u", "left").select("key", "u", "n_u", F.coalesce("component", "u").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select((F.col("key") + F.lit(0)).alias("k"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(rekeyed(F.col("key")).alias("k"))
     open_ = settle(named.join(mixed, named.key == mixed.k, "left_semi"), "open")
     bits = [f"s{i}" for i in range(SKETCH // 64)]
     shared_by = settle(open_.groupBy(F.col("u").alias("id")).agg(F.collect_list("key").alias("keys")), "keys")  # bands keys at most
