@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emptying, hold
+from .common import bounded_batches, emptying, hold, materialize
 
 EOD = 2
 
@@ -36,16 +36,21 @@ class Encoder:
 
     This tokenizer drops white space, so ids of a text are those of its chunks in order, and most
     chunks of a corpus have been met before. New words are encoded together and told apart by the ids
-    that end words; other new chunks are joined by a mark whose one id none of them has. Chunks are kept in two generations of bounded size: when the young one
-    is full it becomes the old one, and what is met again moves back.
+    that end words; other new chunks are joined by a mark whose one id none of them has. Chunks are kept
+    in two generations of bounded size: when the young one is full it becomes the old one, and what is
+    met again moves back.
     """
 
-    LIMIT = 120_000
+    LIMIT = 250_000
     #: Characters whose words are looked up at a time.
     CHARS = 2_000_000
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
+        from tokenizers import Tokenizer
+
+        self.whole = _tokenizer(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
         self.dtype = np.dtype("<u2") if _tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark, self.mark_id = next((c, ids[0]) for c in "\u2605\u2665\u2022\u2026\u2192\u25ba" if len(ids := self._ids(c)) == 1)
         vocabulary = _tokenizer(path).get_vocab()
@@ -59,7 +64,16 @@ class Encoder:
         self.young, self.old = {}, {}
 
     def _ids(self, text: str) -> list[int]:
-        return self.encode(text, add_special_tokens=False).ids
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _together(self, text: str) -> list[int]:
+        """Ids of many chunks; the normalizer has nothing to do for lower-case Latin-1."""
+        try:
+            text.encode("latin-1")
+            tokenizer = self.plain if text == text.lower() else self.whole
+        except UnicodeEncodeError:
+            tokenizer = self.whole
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _chunks(self, text: str | None) -> list[str]:
         if not text:
@@ -77,15 +91,15 @@ class Encoder:
         """Has all of chunks in the young generation."""
         if len(self.young) > self.LIMIT:
             self.young, self.old = {}, self.young
-        new = chunks - self.young.keys()
-        again = new & self.old.keys()
-        for c in again:
-            self.young[c] = self.old[c]
-        words, plain, tails = set(), [], []
-        for c in new - again:
-            if c.isalpha():
-                words.add(c)
-            elif (stem := c.rstrip(string.punctuation)).isalpha():
+        new = chunks.difference(self.young)
+        if self.old:
+            again = {c: self.old[c] for c in new if c in self.old}
+            self.young.update(again)
+            new.difference_update(again)
+        words = {c for c in new if c.isalpha()}
+        plain, tails = [], []
+        for c in new.difference(words):
+            if (stem := c.rstrip(string.punctuation)).isalpha():
                 # A run of punctuation behind a word is a token sequence of its own.
                 tails.append((c, stem, c[len(stem) :]))
                 if stem not in self.young:
@@ -105,7 +119,7 @@ class Encoder:
         """Ids of chunks encoded together. ``ending`` tells the ids after which the next chunk comes; ``skip`` of them are no part of a chunk."""
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
-            ids = np.array(self._ids(between.join(part)), self.dtype)
+            ids = np.array(self._together(between.join(part)), self.dtype)
             ends = np.nonzero(ending[ids])[0] + 1 - skip
             if skip:
                 ends = np.append(ends, len(ids))
@@ -302,7 +316,8 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 4096, unit: int = 8, w
     sequence. A null text is an empty one; rows with a null or repeated doc_id are packed as rows of
     their own; an empty table gives no pieces.
     """
-    tokens = hold(tokenised(docs, tokenizer))
+    # Written, not held: a partition computed again in another order would give rows other numbers.
+    tokens = materialize(tokenised(docs, tokenizer), "tokens")
     pieces = placed(tokens.select("row", "doc_tokens"), window, unit)
     # One row for each document: a long one is not repeated for each of its pieces.
     held = pieces.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
