@@ -70,67 +70,68 @@ def _salt(rows: DataFrame, n: int) -> Column:
     return F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")
 
 
-def plain(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    return big.join(small.hint("shuffle_hash"), on)
+def plain(big: DataFrame, small: DataFrame, on: list[str], method: str = "shuffle_hash") -> DataFrame:
+    return big.join(small.hint(method), on)
 
 
-def spread(big: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFrame:
+def spread(big: DataFrame, small: DataFrame, on: list[str], n: int, method: str = "shuffle_hash") -> DataFrame:
     """big over n buckets whatever its keys, small copied to all."""
     copies = small.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return big.withColumn("_bucket", _salt(big, n)).join(copies.hint("shuffle_hash"), [*on, "_bucket"]).drop("_bucket")
+    return big.withColumn("_bucket", _salt(big, n)).join(copies.hint(method), [*on, "_bucket"]).drop("_bucket")
 
 
-def crossed(big: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFrame:
+def crossed(big: DataFrame, small: DataFrame, on: list[str], n: int, method: str = "shuffle_hash") -> DataFrame:
     """Both sides over a grid: a big row in one column and all rows, a small row in one row and all columns."""
     rows, cols = grid(n)
     down = big.withColumn("_c", _salt(big, cols)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     along = small.withColumn("_r", _salt(small, rows)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    return down.join(along.hint("shuffle_hash"), [*on, "_r", "_c"]).drop("_r", "_c")
+    return down.join(along.hint(method), [*on, "_r", "_c"]).drop("_r", "_c")
 
 
-def _kept(rows: DataFrame, other: DataFrame, on: list[str], n: int, columns: list[str]) -> DataFrame:
+def _kept(rows: DataFrame, other: DataFrame, on: list[str], n: int, columns: list[str], method: str = "shuffle_hash") -> DataFrame:
     """rows stay where they are and meet a broadcast of other, if that is counted as small; else rows are spread."""
-    joined = rows.join(F.broadcast(other), on) if _few(other) else spread(rows, other, on, n)
+    joined = rows.join(F.broadcast(other), on) if _few(other) else spread(rows, other, on, n, method)
     return joined.select(*columns)
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], strategy: str = "auto", n: int | None = None, heavy: DataFrame | None = None, ratio: float = 0.001, floor: int = 10, tolerance: float = 0.3) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], strategy: str = "auto", n: int | None = None, heavy: DataFrame | None = None, ratio: float = 0.001, floor: int = 10, tolerance: float = 0.3, method: str = "shuffle_hash") -> DataFrame:
     """The inner join of big and small on equal columns ``on``, with null keys matching nothing.
 
     ``heavy`` are known hot keys of big (columns on, and cnt for bnr); otherwise they are counted. auto
     is the plain join without hot keys, else prpd. n is the number of buckets that hot rows are
-    spread over, by default that of shuffle partitions.
+    spread over, by default that of shuffle partitions. ``method`` is the hint of the shuffled joins:
+    with merge they sort and spill, where partitions of small don't fit a task's memory.
     """
     on = _keys(on)
     spark = big.sparkSession
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if strategy == "base":
-        return plain(big, small, on)
+        return plain(big, small, on, method)
     if strategy not in (*STRATEGIES, "auto"):
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
     columns = [*on, *(c for c in big.columns if c not in on), *(c for c in small.columns if c not in on)]
     found = heavy if heavy is not None else heavy_keys(big, on, ratio, floor)
     hot = Hot(found, on)  # fewer than 1 / ratio keys
     if not hot and strategy in ("auto", "prpd", "pnr", "bnr"):
-        return plain(big, small, on).select(*columns)
+        return plain(big, small, on, method).select(*columns)
     if strategy == "bnr":
-        return _planned(big, small, on, hot.frame, n, tolerance, ratio).select(*columns)
+        return _planned(big, small, on, hot.frame, n, tolerance, ratio, method).select(*columns)
     if strategy == "pnr":
-        return _salted(big, small, on, hot, n).select(*columns)
+        return _salted(big, small, on, hot, n, method).select(*columns)
     if strategy in ("auto", "prpd"):
-        light = plain(hot.of(big, False), hot.of(small, False), on).select(*columns)
-        return light.unionByName(_kept(hot.of(big, True), hot.of(small, True), on, n, columns))
-    return _by_class(big, small, on, hot, n, ratio, floor, columns)
+        light = plain(hot.of(big, False), hot.of(small, False), on, method).select(*columns)
+        return light.unionByName(_kept(hot.of(big, True), hot.of(small, True), on, n, columns, method))
+    return _by_class(big, small, on, hot, n, ratio, floor, columns, method)
 
 
-def _salted(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int) -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int, method: str) -> DataFrame:
     """One join: hot big rows by a salt, their small rows copied to each; others have salt 0."""
     b = hot.marked(big, "_hot").withColumn("_bucket", F.when(F.col("_hot"), _salt(big, n)).otherwise(0)).drop("_hot")
     s = hot.marked(small, "_hot").withColumn("_bucket", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return b.join(s.hint("shuffle_hash"), [*on, "_bucket"]).drop("_bucket")
+    return b.join(s.hint(method), [*on, "_bucket"]).drop("_bucket")
 
 
-def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, n: int, tolerance: float, ratio: float) -> DataFrame:
+def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, n: int, tolerance: float, ratio: float, method: str) -> DataFrame:
     """One join: hot rows by a plan from their counts, small rows to no more buckets than the plan uses for their key."""
     key = F.concat_ws("\x1f", *on)
     table = planned(big.sparkSession, hot.select(key.alias("_key"), "cnt"), "_key", n, tolerance, light=max(1, int(1 / ratio)))
@@ -139,18 +140,18 @@ def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, n:
     slot = F.get(F.filter("_slots", lambda x: (x["lo"] <= at) & (at < x["hi"])), F.lit(0))["bucket"]
     b = big.withColumn("_key", key).join(slots, "_key", "left").withColumn("_bucket", F.coalesce(slot, F.lit(-1))).drop("_key", "_cnt", "_slots")
     s = small.withColumn("_key", key).join(slots, "_key", "left").withColumn("_bucket", F.explode(F.coalesce(F.transform("_slots", lambda x: x["bucket"]), F.array(F.lit(-1))))).drop("_key", "_cnt", "_slots")
-    return b.join(s.hint("shuffle_hash"), [*on, "_bucket"]).drop("_bucket")
+    return b.join(s.hint(method), [*on, "_bucket"]).drop("_bucket")
 
 
-def _by_class(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, n: int, ratio: float, floor: int, columns: list[str]) -> DataFrame:
+def _by_class(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, n: int, ratio: float, floor: int, columns: list[str], method: str) -> DataFrame:
     """Four joins, by the side or sides on which a key is hot; classes without keys have no join."""
     hot_small = Hot(heavy_keys(small, on, ratio, floor).select(*on), on)
     split = lambda x, b, s: hot_small.of(hot_big.of(x, b), s)
-    out = plain(split(big, False, False), split(small, False, False), on).select(*columns)
+    out = plain(split(big, False, False), split(small, False, False), on, method).select(*columns)
     if hot_big:
-        out = out.unionByName(_kept(split(big, True, False), split(small, True, False), on, n, columns))
+        out = out.unionByName(_kept(split(big, True, False), split(small, True, False), on, n, columns, method))
     if hot_small:
-        out = out.unionByName(_kept(split(small, False, True), split(big, False, True), on, n, columns))
+        out = out.unionByName(_kept(split(small, False, True), split(big, False, True), on, n, columns, method))
     if hot_big and hot_small:
-        out = out.unionByName(crossed(split(big, True, True), split(small, True, True), on, n).select(*columns))
+        out = out.unionByName(crossed(split(big, True, True), split(small, True, True), on, n, method).select(*columns))
     return out

@@ -74,6 +74,13 @@ def test_composite_and_text_keys(spark, strategy):
     assert out.count() == 82 and out.columns == ["x", "y", "b", "s"]
 
 
+def test_merge_method(spark):
+    big, small, b, s = tables(spark, 11)
+    for strategy in STRATEGIES:
+        out = joins.skew_join(big.drop("sender"), small.drop("sender"), "k", strategy, n=4, ratio=0.05, method="merge")
+        assert bag(out.select("k", "b", "s").collect()) == expected(b, s) and "ShuffledHashJoin" not in plan_of(out)
+
+
 def test_wrong_hot_keys_cost_time_only(spark):
     big, small, b, s = tables(spark, 8)
     heavy = spark.createDataFrame([(999, 5), (3, 1)], "k long, cnt long")
