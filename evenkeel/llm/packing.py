@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emptying, hold, materialize
+from .common import bounded_batches, hold, materialize
 
 EOD = 2
 
@@ -32,18 +33,15 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """Ids of texts by way of their white-space-free chunks.
+    """Ids of texts by way of their chunks between white space, of which a corpus has few distinct ones.
 
-    This tokenizer drops white space, so ids of a text are those of its chunks in order, and most
-    chunks of a corpus have been met before. New words are encoded together and told apart by the ids
-    that end words; other new chunks are joined by a mark whose one id none of them has. Chunks are kept
-    in two generations of bounded size: when the young one is full it becomes the old one, and what is
-    met again moves back.
+    This tokenizer drops white space, so ids of a text are those of its chunks in order. A batch's
+    chunks are numbered by Arrow, only distinct ones are looked up, and new ones are encoded together:
+    words are told apart by the ids that end words, others are joined by a mark whose one id none of
+    them has. What is known is bounded, and forgotten when it is full.
     """
 
-    LIMIT = 250_000
-    #: Characters whose words are looked up at a time.
-    CHARS = 2_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,21 +49,21 @@ class Encoder:
         self.whole = _tokenizer(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
-        self.dtype = np.dtype("<u2") if _tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.whole.get_vocab()
+        n = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
         self.mark, self.mark_id = next((c, ids[0]) for c in "\u2605\u2665\u2022\u2026\u2192\u25ba" if len(ids := self._ids(c)) == 1)
-        vocabulary = _tokenizer(path).get_vocab()
-        self.last, self.marked = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.last, self.marked = np.zeros((2, n), bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marked[self.mark_id] = True
-        self.eod = np.array([EOD], self.dtype).tobytes()
-        self.young, self.old = {}, {}
-
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), self.dtype).tobytes()
+
     def _together(self, text: str) -> list[int]:
         """Ids of many chunks; the normalizer has nothing to do for lower-case Latin-1."""
         try:
@@ -75,45 +73,32 @@ class Encoder:
             tokenizer = self.whole
         return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _chunks(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # as the tokenizer does anyway; beyond Latin-1, Python's rules aren't its own
-        except UnicodeEncodeError:
-            pass
-        # str.split() also splits at these four, which the tokenizer doesn't take for white space.
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        return text.replace("\n", " ").split(" ") if odd else text.split()
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Has all of chunks in the young generation."""
-        if len(self.young) > self.LIMIT:
-            self.young, self.old = {}, self.young
-        new = chunks.difference(self.young)
-        if self.old:
-            again = {c: self.old[c] for c in new if c in self.old}
-            self.young.update(again)
-            new.difference_update(again)
+    def _learn(self, chunks: list[str]) -> None:
+        """Has all of chunks among the known ones."""
+        if len(self.known) > self.LIMIT:
+            self.known = {"": b""}
+        known = self.known
+        new = [c for c in chunks if c not in known]
         words = {c for c in new if c.isalpha()}
         plain, tails = [], []
-        for c in new.difference(words):
+        for c in new:
+            if c in words:
+                continue
             if (stem := c.rstrip(string.punctuation)).isalpha():
                 # A run of punctuation behind a word is a token sequence of its own.
                 tails.append((c, stem, c[len(stem) :]))
-                if stem not in self.young:
+                if stem not in known:
                     words.add(stem)
             elif self.mark in c or "<|" in c or len(c) > 200:
-                self.young[c] = np.array(self._ids(c), self.dtype).tobytes()
+                known[c] = self._bytes(c)
             else:
                 plain.append(c)
         self._encode(list(words), " ", self.last, 0)
         self._encode(plain, f" {self.mark} ", self.marked, 1)
         for c, stem, tail in tails:
-            if tail not in self.young:
-                self.young[tail] = np.array(self._ids(tail), self.dtype).tobytes()
-            self.young[c] = self.young[stem] + self.young[tail]
+            if tail not in known:
+                known[tail] = self._bytes(tail)
+            known[c] = known[stem] + known[tail]
 
     def _encode(self, chunks: list[str], between: str, ending: np.ndarray, skip: int) -> None:
         """Ids of chunks encoded together. ``ending`` tells the ids after which the next chunk comes; ``skip`` of them are no part of a chunk."""
@@ -124,27 +109,36 @@ class Encoder:
             if skip:
                 ends = np.append(ends, len(ids))
             if len(ends) != len(part):  # no such chunk is known
-                for c in part:
-                    self.young[c] = np.array(self._ids(c), self.dtype).tobytes()
+                self.known.update((c, self._bytes(c)) for c in part)
                 continue
             data, size, start = ids.tobytes(), self.dtype.itemsize, 0
             for c, end in zip(part, ends.tolist()):
-                self.young[c] = data[start * size : end * size]
+                self.known[c] = data[start * size : end * size]
                 start = end + skip
 
-    def encoded(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text and EOD, as little-endian bytes."""
-        out, at = [], 0
-        while at < len(texts):
-            lists, n = [], 0
-            while at < len(texts) and n < self.CHARS:
-                lists.append(self._chunks(texts[at]))
-                n += len(texts[at] or "")
-                at += 1
-            self._learn(set().union(*lists))
-            get = self.young.__getitem__
-            out += [b"".join([*map(get, chunks), self.eod]) for chunks in lists]
-        return out
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Number of ids of each text, with EOD behind; and the ids, as little-endian bytes."""
+        texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+        # These four are white space to Arrow, but not to the tokenizer; chunks may hold any other.
+        odd = pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py()
+        parts = pc.split_pattern(texts, " ") if odd else pc.utf8_split_whitespace(texts)
+        numbered = parts.flatten().dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        self._learn(chunks)
+        data = [self.known[c] for c in chunks]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // self.dtype.itemsize
+        pool = np.frombuffer(b"".join(data), self.dtype)
+        first = np.cumsum(size) - size
+        at = numbered.indices.to_numpy()
+        n = size[at]
+        # The ids of all occurrences in order: runs of the pool.
+        ends = np.cumsum(n)
+        ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - ends + n, n)]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        ids = np.insert(ids, bounds[1:], EOD)
+        bounds = bounds + np.arange(len(bounds))
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds * self.dtype.itemsize), pa.py_buffer(np.ascontiguousarray(ids))])
+        return np.diff(bounds), out.cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -155,7 +149,7 @@ def _encoder(path: str) -> Encoder:
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of a text, ended by EOD."""
     e = _encoder(path)
-    return np.frombuffer(e.encoded([text])[0], e.dtype)
+    return np.frombuffer(e.encoded(pa.array([text], pa.string()))[1][0].as_py(), e.dtype)
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -165,10 +159,10 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
-            ids = encoder.encoded(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "doc_tokens", "ids"])
+            n, ids = encoder.encoded(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), ids], ["doc_id", "row", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(lambda it: emptying(_encoder(path), run(it)), "doc_id long, row long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, row long, doc_tokens long, ids binary")
 
 
 def combinations(classes: int) -> np.ndarray:
@@ -294,16 +288,19 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def _pieces(batches, dtype, with_ids: bool):
+    names = [*(x.split()[0] for x in PIECE.split(", ")), *["ids"] * with_ids]
     for b in batches:
-        out = [[] for _ in range(7 + with_ids)]
-        for doc_id, n, data, pieces in zip(*(b.column(i).to_pylist() for i in range(4))):
-            ids = np.frombuffer(data, dtype).astype("<u4")
-            for x in pieces:
-                part = ids[x["start"] : x["start"] + x["length"]].tobytes()
-                for col, v in zip(out, (doc_id, x["start"], x["length"], zlib.crc32(part), n, x["sequence_id"], x["offset"], part)):
-                    col.append(v)
-        types = [pa.int64()] * 7 + [pa.binary()] * with_ids
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [*(x.split()[0] for x in PIECE.split(", ")), *["ids"] * with_ids])
+        data, pieces = b.column(2).cast(pa.binary()), b.column(3)
+        bounds = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        ids = np.frombuffer(data.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].view(dtype).astype("<u4")
+        view = memoryview(ids).cast("B")
+        parent = pc.list_parent_indices(pieces)
+        start, length, sequence, offset = pieces.flatten().flatten()
+        first = ((bounds[:-1] - bounds[0]) // dtype.itemsize)[parent.to_numpy()] + start.to_numpy()
+        parts = [view[4 * f : 4 * (f + n)] for f, n in zip(first.tolist(), length.to_pylist())]
+        crc = pa.array(map(zlib.crc32, parts), pa.int64())
+        own = [pa.array(map(bytes, parts), pa.binary())] * with_ids
+        yield pa.RecordBatch.from_arrays([b.column(0).take(parent), start, length, crc, b.column(1).take(parent), sequence, offset, *own], names)
 
 
 def packed(docs: DataFrame, tokenizer: str, window: int = 4096, unit: int = 8, with_ids: bool = False) -> DataFrame:

@@ -26,6 +26,19 @@ def test_chunks_equal_whole_texts(spark, sf):
         assert packing.token_ids(t, PATH).tolist() == brute_ids(t), t
 
 
+def test_batches_and_slices():
+    import pyarrow as pa
+
+    texts = [*ODD, *(f"Word{i} und Größe, À la carte {i % 7}" for i in range(200)), None]
+    e = packing.Encoder(PATH)
+    for part in (texts, texts[3:], [t for t in texts if not t or "\x1c" not in t]):
+        for array in (pa.array(part), pa.array(["skipped à", *part]).slice(1)):
+            n, ids = e.encoded(array)
+            want = [brute_ids(t) for t in part]
+            assert [np.frombuffer(x, e.dtype).tolist() for x in ids.to_pylist()] == want and n.tolist() == list(map(len, want))
+    assert len(e.encoded(pa.array([], pa.string()))[0]) == 0
+
+
 def check(pieces, rows, window=4096):
     want = {i: brute_ids(t) for i, t, _ in rows}
     by_doc, by_sequence = {}, {}
