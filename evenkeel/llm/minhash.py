@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     members = hold(bucketed.join(shared, bucketed.key == shared.k).select("key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("n_u"), "v", "n_v"))
 
     star = settle(members.where((F.col("u") != F.col("v")) & _near(F.col("n_u"), F.col("n_v"), percent)).select("u", "v").distinct(), "star")
-    links = settle(verified(star, docs, k, percent), "links")
+    links = hold(verified(star, docs, k, percent))
     found = connected_components(links)
 
     named = members.join(found.withColumnRenamed("node", "u"), "u", "left").select("key", "u", "n_u", F.coalesce("component", "u").alias("c"))
@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         first = sized.groupBy("digest").agg(F.min("doc_id").alias("v"))
         edges = edges.unionByName(sized.join(ids, "doc_id", "left_semi").join(first, "digest").select(F.col("doc_id").alias("u"), "v"))
     final = connected_components(edges)
-    release(members)
-    for x in (star, links, open_, shared_by, rest):
+    release(members, links)
+    for x in (star, open_, shared_by, rest):
         discard(x)
     # Only digests that are copied or linked need a join; the others are components of themselves.
     copies = sized.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))

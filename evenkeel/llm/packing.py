@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hold, materialize
+from .common import bounded_batches, emptying, hold, materialize
 
 EOD = 2
 
@@ -41,7 +41,7 @@ class Encoder:
     them has. What is known is bounded, and forgotten when it is full.
     """
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,6 +58,9 @@ class Encoder:
         self.marked[self.mark_id] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def clear(self) -> None:
+        self.known = {"": b""}
+
     def _ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
@@ -76,7 +79,7 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Has all of chunks among the known ones."""
         if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
+            self.clear()
         known = self.known
         new = [c for c in chunks if c not in known]
         words = {c for c in new if c.isalpha()}
@@ -162,7 +165,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             n, ids = encoder.encoded(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), ids], ["doc_id", "row", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, row long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(lambda it: emptying(_encoder(path), run(it)), "doc_id long, row long, doc_tokens long, ids binary")
 
 
 def combinations(classes: int) -> np.ndarray:
