@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -11,10 +12,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, length int"
 
 
-def brute_ids(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, packing.EOD]
+    return Tokenizer.from_file(PATH)
+
+
+def brute_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, packing.EOD]
 
 
 ODD = ["", None, "a", "   x　y", "naıve École é ́x ΣΣ", "a\x1cb \x1d\x1e\x1f c", "x<|endoftext|>y <|startoftext|>", "it's we'll 12 !!?", "中文 한글\r\n\t tab\x0bv\x85w z", "\U0001f600a‍b", "★ x★y ★ <|x ♥ • … →", "İstanbul ΟΔΟΣ ÀÉ", "z" * 500, "a, b., c!? d' 's e's. f_ ,g 1, 2. é, e\u0301, \u0301."]
