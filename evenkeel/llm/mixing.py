@@ -18,6 +18,8 @@ from .common import hold
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
+#: Words in a partition of the mixed corpus, about.
+PART_WORDS = 2_000_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -91,14 +93,28 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return runs.select("rank", F.flatten(F.transform("runs", lambda x: F.array_repeat(x["shard"], x["n"].cast("int")))).alias("shards_of"))
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
+
+
+def _h(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id")
+
+
+def _bucket(seed: int, n: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n))
+
+
+def _buckets(sized: DataFrame) -> int:
+    return max(1, -(-sized.count() // 4096))
+
+
 def _permuted(sized: DataFrame, seed: int) -> DataFrame:
     """sized with bucket, h and before: the words ahead of a row in its source's permuted stream.
 
     The stream's order is (bucket, h, row). Buckets hold about 4096 rows, so no source is sorted in one task.
     """
-    n = sized.count()
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    p = sized.withColumn("h", h).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(max(1, -(-n // 4096)))))
+    p = sized.withColumn("h", _h(seed)).withColumn("bucket", _bucket(seed, _buckets(sized)))
     sums = p.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
@@ -112,6 +128,17 @@ def _quotas(sized: DataFrame, weights, repeats: int) -> DataFrame:
     return targets(sized, weights, repeats).withColumn("quota", F.round("target").cast("long"))
 
 
+def _planned(sized: DataFrame, weights, repeats: int, shards: int, blocks: int, seed: int) -> DataFrame:
+    """sized, permuted, with source_size, target, quota, the length of its source's blocks and shards_of, which the tree deals."""
+    q = _quotas(sized, weights, repeats)
+    q = q.withColumn("length", F.greatest(F.lit(1), F.ceil(F.col("quota") / blocks)).cast("long"))
+    q = hold(q.withColumn("blocks", F.ceil(F.col("quota") / F.col("length")).cast("long")))
+    tree = splitting_tree(q.select("rank", "blocks"), shards, seed)
+    plan = q.join(tree, "rank", "left").withColumnRenamed("source", "s")
+    p = _permuted(sized, seed)
+    return p.join(plan, p.source.eqNullSafe(plan.s))
+
+
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target and spans.
 
@@ -121,15 +148,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int =
     that repeat a doc_id are documents of their own; an empty table gives no rows. The words taken
     of a source are its target, rounded.
     """
-    base = docs.select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
-    sized = hold(base)
-    q = _quotas(sized, weights, repeats)
-    q = q.withColumn("length", F.greatest(F.lit(1), F.ceil(F.col("quota") / blocks)).cast("long"))
-    q = hold(q.withColumn("blocks", F.ceil(F.col("quota") / F.col("length")).cast("long")))
-    tree = splitting_tree(q.select("rank", "blocks"), shards, seed)
-    plan = q.join(tree, "rank", "left").withColumnRenamed("source", "s")
-    p = _permuted(sized, seed)
-    joined = p.join(plan, p.source.eqNullSafe(plan.s))
+    sized = hold(_sized(docs))
+    joined = _planned(sized, weights, repeats, shards, blocks, seed)
 
     def of_copy(c):
         start = c * F.col("source_size") + F.col("before")
@@ -146,32 +166,55 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int =
     return joined.select("doc_id", "source", "size", "source_size", "target", spans.alias("spans"))
 
 
+def _shuffle_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "block")
+
+
 def drawn(mix: DataFrame, seed: int = 3) -> DataFrame:
     """The spans of a mix, a row each, with the key by which its shard shuffles them locally."""
     rows = mix.select("doc_id", "source", F.explode("spans").alias("x")).select("doc_id", "source", "x.*")
-    return rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "block"))
+    return rows.withColumn("shuffle_key", _shuffle_key(seed))
 
 
-def taken_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, seed: int = 3) -> DataFrame:
-    """Rows of docs as often as the mix takes them, whole, with all columns.
+def dealt_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
+    """A row for each time the mix takes a document, whole: _row (all its columns), row, copy, block, shard and shuffle_key.
 
-    The same streams and targets as ``mixed``, but a document is never cut: it is taken if its middle
-    is before the end of its source's quota. The place in the permuted order where that end falls is
-    one row a source, so the texts themselves aren't shuffled. Documents without words aren't taken.
+    The same streams, targets, blocks and tree as ``mixed``, but a document is never cut: each copy
+    goes with the block that holds its middle word, and is taken if that is before the end of its
+    source's quota. Blocks are then runs of the permuted order (bucket, h, row), whose two ends are
+    a row for each source, copy and block; these are broadcast, and each text finds its blocks
+    where it is read. Documents without words aren't taken.
     """
-    base = docs.select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
-    sized = hold(base)
-    n_buckets = max(1, -(-sized.count() // 4096))
-    q = _quotas(sized, weights, repeats).withColumnRenamed("source", "s")
-    q = q.withColumn("full", F.floor(F.col("quota") / F.greatest("source_size", F.lit(1)))).withColumn("rest", F.col("quota") - F.col("full") * F.col("source_size"))
-    q = hold(q)
-    p = _permuted(sized, seed)
-    inside = p.join(q, p.source.eqNullSafe(q.s)).where(F.col("before") + F.col("size") / 2 < F.col("rest"))
-    ends = inside.groupBy("rank").agg(F.max(F.struct("bucket", "h")).alias("end"))
-    plan = q.join(ends, "rank", "left").select(F.struct("s", "full", "end").alias("_plan"))
-    place = F.struct(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n_buckets)).alias("bucket"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    extra = F.coalesce((place <= F.col("_plan.end")).cast("int"), F.lit(0))
-    wide = docs.select("doc_id", "source", n_words().alias("_size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = wide.join(plan, F.col("source").eqNullSafe(F.col("_plan.s"))).where(F.col("_size") > 0)
-    times = (F.col("_plan.full") + extra).cast("int")
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return _dealt(docs, hold(_sized(docs)), weights, repeats, shards, blocks, seed)
+
+
+def _dealt(docs: DataFrame, sized: DataFrame, weights, repeats: int, shards: int, blocks: int, seed: int) -> DataFrame:
+    n_buckets = _buckets(sized)
+    p = _planned(sized, weights, repeats, shards, blocks, seed).where("size > 0")
+    middle = F.col("copy") * F.col("source_size") + F.col("before") + F.floor(F.col("size") / 2)
+    p = p.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long")))).withColumn("middle", middle).where("middle < quota")
+    p = p.withColumn("block", F.floor(F.col("middle") / F.col("length"))).withColumn("shard", F.get("shards_of", F.col("block").cast("int")))
+    place = F.struct("bucket", "h", "row")
+    runs = p.groupBy("s", "copy", "block", "shard").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    plan = runs.groupBy("s").agg(F.collect_list(F.struct("copy", "block", "shard", "first", "last")).alias("_runs"))
+    wide = docs.select("doc_id", "source", _bucket(seed, n_buckets).alias("bucket"), _h(seed).alias("h"), F.monotonically_increasing_id().alias("row"), n_words().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    wide = wide.where("size > 0").withColumn("place", place)
+    rows = wide.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
+    mine = F.filter("_runs", lambda x: (x["first"] <= F.col("place")) & (F.col("place") <= x["last"]))
+    rows = rows.select("doc_id", "row", "_row", F.explode(mine).alias("x")).select("doc_id", "row", "_row", "x.copy", "x.block", "x.shard")
+    return rows.withColumn("shuffle_key", _shuffle_key(seed)).drop("doc_id")
+
+
+def taken_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
+    """Rows of docs as often as the mix takes them, whole, with all columns, shard after shard, each in its shuffled order.
+
+    See ``dealt_whole``. A shard is as many partitions as its words ask for, cut by ranges of the
+    shuffle key, so no shard is sorted in one task; texts move once. Rows of equal key are in the order of docs.
+    """
+    sized = hold(_sized(docs))
+    words = sized.agg(F.sum("size")).first()[0] or 0
+    parts = max(1, -(-words // (shards * PART_WORDS)))
+    rows = _dealt(docs, sized, weights, repeats, shards, blocks, seed)
+    part = F.floor((F.shiftright("shuffle_key", 32) + F.lit(1 << 31)) * F.lit(parts) / F.lit(1 << 32))
+    rows = rows.repartitionById(shards * parts, (F.col("shard") * parts + part).cast("int")).sortWithinPartitions("shard", "shuffle_key", "row")
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.llm.mixing import drawn, mixed, splitting_tree, taken_whole, targets
+from evenkeel.llm.mixing import dealt_whole, drawn, mixed, splitting_tree, taken_whole, targets
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -100,6 +100,34 @@ def test_whole_documents(spark):
     assert all(abs(total[s] - want[s]) <= 200 for s in want)
 
 
+def test_repeated_ids_do_not_overshoot(spark):
+    """A third of the documents share a null doc_id, another third one id; targets are met to within a document."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "w " * (1 + i % 9), "abc"[i % 5 % 3]) for i in range(900)]
+    sizes, total = {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for r in taken_whole(spark.createDataFrame(rows, SCHEMA)).collect():
+        total[r["source"]] = total.get(r["source"], 0) + len(r["text"].split())
+    want = water_filled(sizes)
+    assert all(abs(total[s] - want[s]) <= 9 for s in want)
+
+
+def test_whole_documents_follow_tree_and_shuffle(spark):
+    rows = [r for r in corpus(6, 900) if r[0] < 900]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    dealt = dealt_whole(docs, shards=5, blocks=20).select("_row.*", "row", "copy", "block", "shard", "shuffle_key").collect()
+    blocks, tree = {}, {(r["source"], r["block"]): r["shard"] for r in drawn(mixed(docs, shards=5, blocks=20)).collect()}
+    for r in dealt:
+        assert tree[r["source"], r["block"]] == r["shard"]
+        blocks[r["source"], r["block"]] = blocks.get((r["source"], r["block"]), 0) + len(r["text"].split())
+    quota = water_filled({s: sum(len(t.split()) for _, t, x in rows if x == s) for _, _, s in rows})
+    assert all(abs(n - -(-round(quota[s]) // 20)) <= 200 for (s, b), n in blocks.items() if b < 19)
+    in_order = [r["doc_id"] for r in sorted(dealt, key=lambda r: (r["shard"], r["shuffle_key"], r["row"]))]
+    got = [r["doc_id"] for r in taken_whole(docs, shards=5, blocks=20).collect()]
+    assert got == in_order and got != sorted(got)
+    assert sum(a == b for a, b in zip(got, got[1:])) < 0.05 * len(got)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixed(none).count() == 0 and taken_whole(none).count() == 0
