@@ -14,7 +14,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Compression classification; documents without a language, or whose best languages tie, go."""
+    """Compression classification; documents it does not accept, without a language or by a narrow margin, go."""
     return langid.filtered(docs, langid.learn(docs))
 
 

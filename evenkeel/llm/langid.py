@@ -21,6 +21,8 @@ UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 WINDOW = 2048
+#: Least score of an accepted document, of the query and of the pipeline. Of 748 clean held-out documents of sf0.1, 744 reach it, 2 are ties.
+NARROW = 0.01
 #: Texts of so many bytes or less, whose sizes in whole bytes often tie, are compressed with each of SLICES parts of a dictionary.
 SHORT, SLICES = 256, 16
 
@@ -93,7 +95,7 @@ def classify(text: str | None, compressors) -> tuple[str, float]:
     return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], level: int = 5, narrow: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], level: int = 5, narrow: float = NARROW) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and accepted, replacing columns of these names.
 
     Only text is looked at, whole. A null text, one without letters, or an empty model gives
@@ -116,7 +118,6 @@ def identify(docs: DataFrame, model: dict[str, bytes], level: int = 5, narrow: f
     return kept.mapInArrow(run, extended(kept, lang_pred="string", score="double", accepted="boolean"))
 
 
-def filtered(docs: DataFrame, model: dict[str, bytes], narrow: float = 0.0) -> DataFrame:
-    """The rows of docs, with all columns, whose language is told by a margin above ``narrow``."""
-    rows = identify(wrapped(docs), model)
-    return unwrapped(rows.where((F.col("lang_pred") != UND) & (F.col("score") > narrow)), docs)
+def filtered(docs: DataFrame, model: dict[str, bytes], narrow: float = NARROW) -> DataFrame:
+    """The rows of docs, with all columns, that ``identify`` accepts."""
+    return unwrapped(identify(wrapped(docs), model, narrow=narrow).where("accepted"), docs)

@@ -275,6 +275,19 @@ def test_prediction_ignores_other_columns(spark):
     assert {(r["lang_pred"], r["score"]) for r in a.collect()} == {(r["lang_pred"], r["score"]) for r in b.collect()}
 
 
+def test_filter_keeps_what_is_accepted(spark):
+    """Texts of two languages in all proportions: some margins are above 0 and below the operator's threshold."""
+    en, de = "the and with from this that have which would their ", "der die das und nicht mit von einer werden sich "
+    model = {"en": (en * 3).encode(), "de": (de * 3).encode()}
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice((en if rng.random() < i / 400 else de).split()) for _ in range(300))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = langid.identify(docs, model).collect()
+    assert any(0 < r["score"] < 0.01 for r in out)
+    want = sorted(r["doc_id"] for r in out if r["accepted"])
+    assert sorted(r["doc_id"] for r in langid.filtered(docs, model).collect()) == want and want
+
+
 # Quality ----------------------------------------------------------------------------------------
 def test_quality_on_labels(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
