@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,29 +83,32 @@ def strength(g: Column, m: Column, k: Column, gg: Column, mm: Column) -> Column:
     return (1 - bounded) / bounded
 
 
-def reputations(labelled: DataFrame, z: float = 1.645) -> DataFrame:
-    """(host, n, good, rate, low, high) for each host of rows (host, good int 0/1): posterior mean and bounds.
+def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+    """(host, n, good, rate, low, high) for each host of rows (host, good int 0/1 or null): posterior mean and bounds.
 
-    Hosts are pre-aggregated, so one with a third of all rows is one row after its partial sums. A
-    domain's own counts update a prior centred at its suffix's rate, and a host's one centred at
-    its domain's rate; a suffix is centred at the rate of all.
+    A null good says that the host is there, without an outcome. Hosts are pre-aggregated, so one
+    with a third of all rows is one row after its partial sums. A domain's own counts update a
+    prior centred at its suffix's rate, and a host's one centred at its domain's rate; a suffix is
+    centred at the rate of all. A host whose domain has no outcome has the prior of its suffix's
+    domains, or else that of all suffixes. No outcomes at all give no rows.
     """
-    hosts = labelled.where("host <> '' and good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").cast("long").alias("good"))
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    seen = outcomes.where("host <> ''").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
+    seen = seen.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    hosts = seen.where("n > 0")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
     # The root's sums are over one row a suffix; then suffixes, their domains, and the domains' hosts.
-    whole = Window.partitionBy()
-    root = suffixes.select("suffix", *[(F.round(F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")).over(whole), 6) if name == "gg" else c.over(whole)).alias(name) for name, c in _moments().items()])
-    root = root.select("suffix", (F.col("g") / F.col("m")).alias("rate"), strength(*[F.col(c) for c in ("g", "m", "k", "gg", "mm")]).alias("s"))
-    mid = _prior(domains, "suffix").withColumnsRenamed({"g": "g_s", "m": "n_s", "s": "s_suffix"}).join(root, "suffix")
+    root = suffixes.agg(*[(F.round(F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")), 6) if name == "gg" else c).alias(name) for name, c in _moments().items()])
+    root = root.select((F.col("g") / F.col("m")).alias("rate"), strength(*[F.col(c) for c in ("g", "m", "k", "gg", "mm")]).alias("s"))
+    mid = _prior(domains, "suffix").withColumnsRenamed({"g": "g_s", "m": "n_s", "s": "s_suffix"}).crossJoin(F.broadcast(root))
     mid = mid.select("suffix", "s_suffix", ((F.col("g_s") + F.col("s") * F.col("rate")) / (F.col("n_s") + F.col("s"))).alias("rate_s"))
     low = _prior(hosts, "domain").withColumnsRenamed({"s": "s_domain"}).withColumn("suffix", suffix(F.col("domain"))).join(mid, "suffix")
     low = low.withColumn("rate_d", (F.col("g") + F.col("s_suffix") * F.col("rate_s")) / (F.col("m") + F.col("s_suffix")))
-    all_ = hosts.join(low.select("domain", "rate_d", "s_domain"), "domain")
-    a = F.col("good") + F.col("s_domain") * F.col("rate_d")
-    total = F.col("n") + F.col("s_domain")
+    all_ = seen.join(low.select("domain", "rate_d", "s_domain"), "domain", "left").join(mid, "suffix", "left").crossJoin(F.broadcast(root)).where("rate is not null")
+    rate, s = F.coalesce("rate_d", "rate_s", "rate"), F.coalesce("s_domain", "s_suffix", "s")
+    a = F.col("good") + s * rate
+    total = F.col("n") + s
     mean = a / total
     sd = F.sqrt(mean * (1 - mean) / (total + 1))
     return all_.select("host", "n", "good", mean.alias("rate"), F.greatest(F.lit(0.0), mean - z * sd).alias("low"), F.least(F.lit(1.0), mean + z * sd).alias("high"))
@@ -116,13 +119,15 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str
 
     outcomes are rows (page_id, good 0/1); a page they name several times counts as each says. A
     page's verdict is its longest rule's, else block if the posterior's upper bound for its host is
-    below limit, else allow; hosts without any outcome are allowed, as is an empty host. A null
-    page_id or url gives a row as well; an empty table gives none.
+    below limit, else allow; a host without outcomes has the posterior of its domain, suffix or all
+    pages. An empty host is allowed, and every host if there is no outcome at all. A null page_id or
+    url gives a row as well; an empty table gives none.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select(F.col("page_id").alias("p"), F.col("good").cast("int").alias("good"))
     labelled = named.join(known, F.col("page_id") == F.col("p")).select("host", "good")
-    blocked = reputations(labelled, z).where(F.col("high") < limit).select(F.concat("host", F.lit("")).alias("h"), F.lit(True).alias("blocked"))
+    everyone = labelled.union(named.select("host", F.lit(None).cast("int")))
+    blocked = reputations(everyone, z).where(F.col("high") < limit).select(F.concat("host", F.lit("")).alias("h"), F.lit(True).alias("blocked"))
     out = named.join(blocked, F.col("host") == F.col("h"), "left").withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))

@@ -45,6 +45,20 @@ def test_reputation_blocks_bad_hosts_and_spares_unknown(spark):
     assert out == {"bad.example.org": "block", "good.example.org": "allow", "once.example.org": "allow"}
 
 
+def test_hosts_without_outcomes_follow_domain_suffix_and_all(spark):
+    known = [(f"h{i % 8}.d{d}.{s}", int(i % 20 < g)) for s, g in (("bad", 1), ("fine", 18)) for d in range(6) for i in range(40)]
+    known += [(f"h{i % 8}.spam.fine", 0) for i in range(40)]
+    new = {"new.d1.bad": "block", "new.d9.bad": "block", "new.spam.fine": "block", "new.d1.fine": "allow", "new.d9.fine": "allow", "new.d1.other": "allow", "": "allow"}
+    urls = [h for h, _ in known] + list(new)
+    pages = spark.createDataFrame([(i, f"x://{h}/a") for i, h in enumerate(urls)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(known)], "page_id long, good int")
+    out = {r["host"]: r["verdict"] for r in hosts.judged(pages, outcomes).collect()}
+    assert {h: out[h] for h in new} == new
+    assert {r["verdict"] for r in hosts.judged(pages, outcomes.limit(0)).collect()} == {"allow"}
+    bad = outcomes.where("page_id < 240")
+    assert {r["host"]: r["verdict"] for r in hosts.judged(pages, bad).collect()}["new.d1.other"] == "block"
+
+
 def test_posterior_is_between_host_and_domain(spark):
     rows = [(f"{h}.d.org", int(i < g)) for h, n, g in (("a", 10, 2), ("b", 50, 45), ("c", 40, 38)) for i in range(n)]
     out = {r["host"]: r for r in hosts.reputations(spark.createDataFrame(rows, "host string, good int")).collect()}
