@@ -1,34 +1,36 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary, made of a bounded sample of its texts. A
-text is cut into windows, each window is compressed with every dictionary, and the language whose
-sizes sum to least wins. The margin to the runner-up is the score; narrow margins are rejected.
+Each language has zstandard raw-content dictionaries, made of windows of a bounded sample of its
+texts. A text is cut into windows, each window is compressed with every dictionary, and the language
+whose sizes sum to least wins. The margin to the runner-up is the score; narrow margins are rejected.
+Texts of all lengths are told by the same rule: a language's size is the mean over its PARTS
+dictionaries, from disjoint parts of its sample, so that sizes in whole bytes tie less often.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, extended, unwrapped, wrapped
 
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
-WINDOW = 2048
-#: Least score of an accepted document, of the query and of the pipeline. Of 748 clean held-out documents of sf0.1, 744 reach it, 2 are ties.
+#: Letters are categories L*. \w has numbers besides, of which \d are the decimal digits only.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+WINDOW, PARTS = 2048, 2
+#: Least score of an accepted document, of the query and of the pipeline.
 NARROW = 0.01
-#: Texts of so many bytes or less, whose sizes in whole bytes often tie, are compressed with each of SLICES parts of a dictionary.
-SHORT, SLICES = 256, 16
 
 
 def normalised(text: str) -> str:
-    """Lower case, with each run of what isn't a letter as one space."""
+    """Lower case, with each run of what isn't a letter as one space; empty without letters."""
     return _OTHER.sub(" ", text).strip().lower()
 
 
@@ -37,30 +39,34 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 400, clip: int = 2000, dictionary_bytes: int = 200_000) -> dict[str, bytes]:
+def learn(docs: DataFrame, per_language: int = 400, clip: int = 1000, languages: int = 256) -> dict[str, bytes]:
     """Language -> dictionary, from text and lang of documents that aren't held out.
 
-    About per_language documents of each language are sampled by a hash of the text, each gives its
-    first clip characters, and a dictionary ends at dictionary_bytes: these bounds fix what the
-    driver receives, whatever the table's size. Rows with a null or letterless text or a null lang
-    teach nothing.
+    Of each language, the per_language distinct texts of least hash teach, however many copies they
+    or others have. Each gives one window of clip characters, from a place anywhere in the text that
+    its hash says, without the words that the window cuts. These bounds, and that of languages (those of most distinct
+    texts), fix what the driver receives, whatever the table's size. Rows with a null or letterless
+    text or a null lang teach nothing.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("h"), "text")
+    distinct = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not distinct:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(u < F.element_at(share, F.col("lang"))).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, clip).alias("text")).dropDuplicates(["lang", "h"])
+    # Twice as many as wanted, as the numbers are estimates; copies are dropped before they move.
+    share = F.create_map(*[F.lit(x) for r in distinct for x in (r["lang"], min(1.0, 2 * per_language / max(1, r["n"])))])
+    u = F.shiftrightunsigned("h", 12) / float(1 << 52)
+    length = F.char_length("text")
+    start = F.pmod("h", F.greatest(F.lit(1), length - clip + 1)).cast("int") + 1
+    window = F.struct(F.substring("text", start, F.lit(clip)).alias("text"), (start > 1).alias("left"), (start + clip <= length).alias("right"))
+    sample = rows.where(u < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min(window).alias("x"))
+    least = sample.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= per_language)
     texts: dict[str, list] = {}
-    for r in sample.collect():
-        texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    out = {}
-    for lang, got in sorted(texts.items()):
-        joined = " ".join(x for _, t in sorted(set(got)) if (x := normalised(t))).encode()[:dictionary_bytes]
-        if joined:
-            out[lang] = joined
-    return out
+    for r in least.select("lang", "h", "x.*").collect():
+        # What is left of the word that an end cuts goes.
+        text = re.sub(r"^\S+" * r["left"] + "|" * (r["left"] and r["right"]) + r"\S+$" * r["right"], "", r["text"]) if r["left"] or r["right"] else r["text"]
+        texts.setdefault(r["lang"], []).append((r["h"], normalised(text)))
+    joined = {lang: " ".join(x for _, x in sorted(got) if x).encode() for lang, got in sorted(texts.items())}
+    return {lang: data for lang, data in joined.items() if data}
 
 
 def _compressor(data: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -71,25 +77,22 @@ def _compressor(data: bytes, level: int) -> zstandard.ZstdCompressor:
 
 @lru_cache(maxsize=4)
 def _compressors(model: tuple[tuple[str, bytes], ...], level: int):
-    """(language, compressor of windows, compressors of short texts), the latter by slices of the dictionary."""
+    """(language, its PARTS compressors); the dictionary is halved at a byte, the few are one part."""
     out = []
     for lang, data in model:
-        step = max(256, -(-len(data) // SLICES))
-        out.append((lang, _compressor(data, level), [_compressor(data[i : i + step], level) for i in range(0, len(data), step)]))
+        step = max(256, -(-len(data) // PARTS))
+        out.append((lang, [_compressor(data[i : i + step], level) for i in range(0, len(data), step)]))
     return out
 
 
 def classify(text: str | None, compressors) -> tuple[str, float]:
     """(language, score); the score is the share of bytes by which the best beats the runner-up."""
-    if text is None or not _LETTER.search(text) or not compressors:
+    data = normalised(text).encode() if text else b""
+    if not data or not compressors:
         return UND, 0.0
-    data = normalised(text).encode()
-    if len(data) <= SHORT:
-        data = b" " + data + b" "
-        sizes = sorted((sum(len(c.compress(data)) for c in short) / len(short), lang) for lang, _, short in compressors)
-    else:
-        windows = [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
-        sizes = sorted((sum(len(c.compress(w)) for w in windows), lang) for lang, c, _ in compressors)
+    data = b" " + data + b" "
+    windows = [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
+    sizes = sorted((sum(len(c.compress(w)) for c in parts for w in windows) / len(parts), lang) for lang, parts in compressors)
     if len(sizes) == 1:
         return sizes[0][1], 1.0
     return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
