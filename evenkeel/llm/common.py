@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -79,10 +81,33 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Keeps Arrow batches of texts small enough for a Python worker, whatever the texts' lengths."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Keeps Arrow batches of texts small enough for a Python worker, whatever the texts' lengths.
+
+    Spark reads the setting when a plan runs, after the operator has returned, so it stays lowered in
+    the session; a lower one is left as it is. One text of more is a batch of its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > megabytes << 20:
+        spark.conf.set(name, f"{megabytes << 20}b")
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, bucket: Column, fan: int = 1024) -> DataFrame:
+    """rows with before: the sum of value over the rows ahead in their group of columns by, in the order (bucket, *order).
+
+    Groups may be of any size, and by may be null: rows are added up in their bucket, buckets in runs of ``fan``,
+    and runs in their group, so no task sorts a group's rows. Buckets are whole numbers from 0 that
+    should hold some thousand rows at most.
+    """
+    ahead = lambda x, part, *at: F.coalesce(F.sum(x).over(Window.partitionBy(*part).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = lambda a, b, x: reduce(Column.__and__, [a[c].eqNullSafe(b[f"_{c}"]) for c in (*by, x)])
+    out = rows.withColumns({"_bucket": bucket, "_value": value})
+    sums = out.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum")).withColumn("_run", F.floor(F.col("_bucket") / fan))
+    runs = sums.groupBy(*by, "_run").agg(F.sum("_sum").alias("_sum")).select(*[F.col(c).alias(f"_{c}") for c in (*by, "_run")], ahead("_sum", by, "_run").alias("_first"))
+    sums = sums.withColumn("_inner", ahead("_sum", (*by, "_run"), "_bucket"))
+    sums = sums.join(runs, same(sums, runs, "_run")).select(*[F.col(c).alias(f"_{c}") for c in (*by, "_bucket")], (F.col("_first") + F.col("_inner")).alias("_ahead"))
+    out = out.withColumn("_inside", ahead("_value", (*by, "_bucket"), *order))
+    return out.join(sums, same(out, sums, "_bucket")).select(*rows.columns, (F.col("_ahead") + F.col("_inside")).alias("before"))
 
 
 def extended(df: DataFrame, **kinds: str) -> StructType:

@@ -177,13 +177,13 @@ def digests(docs: DataFrame) -> DataFrame:
     A text's UTF-8 bytes, padded, are the samples. A null text is an empty one: 64 zero bytes. A null
     or repeated doc_id is as good as any; an empty table gives no rows. Rows don't move.
     """
-    bounded_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession, 1)
     return docs.select("doc_id", "text").mapInArrow(_digested, _DIGESTS)
 
 
 def media_column(docs: DataFrame, column: str = "media") -> DataFrame:
     """docs with its text as Ogg bytes in a binary column."""
-    bounded_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession, 1)
     kept = docs.drop(column)
     names = [*kept.columns, column]
 
@@ -200,7 +200,7 @@ def probed(media: DataFrame, key: str, column: str = "media") -> DataFrame:
 
     A file that can't be read gives one row with the reason in error; null gives no row.
     """
-    bounded_batches(media.sparkSession, 256)
+    bounded_batches(media.sparkSession, 1)
     fields = extended(media.select(key), serial="long", pages="long", packets="long", bytes="long", granule="long", error="string")
 
     def run(batches):

@@ -1,7 +1,9 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams, one of target texts and one of all raw texts, give each
-document the log ratio of its probabilities; a Gumbel top-k draws documents in proportion to it.
+document an importance weight, the ratio of its probabilities; the k documents with the largest log
+weight plus standard Gumbel variate are a draw of k without replacement in proportion to the weights.
+Log weights are per n-gram and times LENGTH, so that long documents aren't drawn for their length.
 The n-grams are unigrams and bigrams of words and punctuation runs; a word that repeats the one
 before it is written as one REPEAT symbol, so that repetition has a bucket of its own.
 """
@@ -17,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emptying, extended, hold, mix, unwrapped, wrapped
+from .common import bounded_batches, emptying, extended, hold, materialize, mix, unwrapped, wrapped
 
 BUCKETS = 1 << 16
 _TOKEN = re.compile(rb"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+|[0-9A-Za-z\x80-\xff]+")
 _REPEAT, _CAPS = 1, 2
 SLACK = 3.0
+#: A document is weighed as one of so many n-grams with its mean ratio: the inverse of the draw's temperature.
+LENGTH = 32.0
 #: Clean labelled documents that target texts and the level are taken from, about so many at most; their ids are broadcast.
 LABELS = 200_000
 
@@ -135,67 +139,89 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float |
     return high
 
 
-def resample(weighted: DataFrame, k: int, key: str = "sample_key") -> float | None:
-    """The key from which on a row is among the k of largest key, ties included; None if k rows aren't there.
+def keyed(rows: DataFrame, seed: int, length: float = LENGTH) -> DataFrame:
+    """rows (doc_id, h, n_grams, log_weight) with mean (ratio of their n-grams) and sample_key.
 
-    No row is sorted or sent to the driver: rank k's value is found by counting.
+    sample_key is length * mean plus a standard Gumbel variate that depends on doc_id and the text's
+    hash h. No n-grams give null and minus infinity: weight 0.
     """
-    return kth_largest(weighted, key, k)
-
-
-def _keyed(rows: DataFrame, seed: int, scale: float) -> DataFrame:
-    """rows with mean (of their n-grams' log ratios) and sample_key; no n-grams give null and minus infinity."""
     mean = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams"))
-    key = mean + F.lit(scale) * gumbel(seed, "doc_id", "h")
+    key = F.lit(length) * mean + gumbel(seed, "doc_id", "h")
     return rows.withColumns({"mean": mean, "sample_key": F.coalesce(key, F.lit(float("-inf")))})
 
 
-def _learnt(docs: DataFrame, labels: DataFrame, seed: int, keep_clean: float, folds: int):
-    """Bucket ratios, scale of the Gumbel variates, least selected key, and held rows without texts."""
-    fold = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(folds)) == 0
+def drawn(weighted: DataFrame, k: int):
+    """A condition on rows with sample_key: among the k of largest key, ties included; all of weight if fewer have any.
+
+    Nothing is sorted or sent to the driver: the k-th key is found by counting.
+    """
+    if k < 1:
+        return F.lit(False)
+    limit = kth_largest(weighted, "sample_key", k)
+    return F.col("sample_key") >= F.lit(limit) if limit is not None else F.col("sample_key") > F.lit(float("-inf"))
+
+
+def _clean(labels: DataFrame, seed: int) -> DataFrame:
+    """(id) of documents labelled clean, LABELS at most but for chance; labels that disagree mean not clean."""
     clean = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)
-    label = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(clean).alias("clean")).where("clean").select("id")
-    share = min(1.0, LABELS / max(1, label.count()))
-    label = hold(label.where(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    known = docs.select("doc_id", "text").join(F.broadcast(label.where(~fold("id"))), F.col("doc_id") == F.col("id"), "left")
-    ratios = fit(known, F.col("id").isNotNull())
-    rows = hold(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "n_grams", "log_weight", F.xxhash64("text").alias("h")))
-    left_out = _keyed(rows.where(fold("doc_id")), seed, 0.0).join(F.broadcast(label), F.col("doc_id") == F.col("id"), "left_semi")
-    n, spread = left_out.agg(F.count("mean"), F.stddev_pop("mean")).first()
-    level = None
-    if n:
-        low, middle = (kth_largest(left_out, "mean", math.ceil(n * share)) for share in (keep_clean, 0.5))
-        level = low - SLACK * (middle - low)
-    scale = (spread or 0.0) / 100
-    keyed = _keyed(rows, seed, scale)
-    k = keyed.where(F.col("mean") >= F.lit(level if level is not None else float("-inf"))).count()
-    limit = resample(keyed, k)
-    return ratios, scale, float("-inf") if limit is None else limit, keyed
+    ids = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(clean).alias("clean")).where("clean").select("id")
+    share = min(1.0, LABELS / max(1, ids.count()))
+    return hold(ids.where(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)) < int(share * (1 << 30))))
+
 
+def _fold(seed: int, folds: int, column: str):
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(folds)) == 0
 
-def _selected(limit: float):
-    return (F.col("sample_key") >= F.lit(limit)) & (F.col("n_grams") > 0)
 
+def _ratios(docs: DataFrame, clean: DataFrame, seed: int, folds: int) -> np.ndarray:
+    known = docs.select("doc_id", "text").join(F.broadcast(clean.where(~_fold(seed, folds, "id"))), F.col("doc_id") == F.col("id"), "left")
+    return fit(known, F.col("id").isNotNull())
 
-def judged(docs: DataFrame, labels: DataFrame, seed: int = 5, keep_clean: float = 0.99, folds: int = 4) -> DataFrame:
+
+def budget(rows: DataFrame, clean: DataFrame, seed: int, keep_clean: float, folds: int) -> int:
+    """How many of keyed rows have a mean ratio as clean texts have.
+
+    The level is what a share keep_clean of the clean fold left out of the fit reaches, lowered by
+    SLACK times its distance to their median, as few clean texts say little about the tail. Without
+    such texts all rows with n-grams count.
+    """
+    left_out = rows.where(_fold(seed, folds, "doc_id")).join(F.broadcast(clean), F.col("doc_id") == F.col("id"), "left_semi")
+    n = left_out.agg(F.count("mean")).first()[0]
+    if not n:
+        return rows.where("n_grams > 0").count()
+    low, middle = (kth_largest(left_out, "mean", math.ceil(n * share)) for share in (keep_clean, 0.5))
+    return rows.where(F.col("mean") >= F.lit(low - SLACK * (middle - low))).count()
+
+
+def judged(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, keep_clean: float = 0.99, folds: int = 4) -> DataFrame:
     """(doc_id, n_grams, log_weight, sample_key, selected) for each row of docs (doc_id, text).
 
-    Clean documents are those labelled quality 1 and toxic 0, of which LABELS are used at most. Target texts are clean ones but for
-    one fold in ``folds`` by a hash of the id; raw texts are all. sample_key is the mean log ratio of
-    a document's n-grams plus a Gumbel variate, scaled to a hundredth of the spread of the fold left
-    out, and the k rows of largest key are selected; k is the number of rows whose mean ratio
-    reaches a level. That is the one which a share keep_clean of the fold left out reaches, lowered by
-    SLACK times its distance to their median, as few clean texts say little about the tail; labelled
-    texts have no say in how well they themselves are fitted. Labels that disagree about a document count as not
-    clean. Rows with a null doc_id can't be labelled but are judged. Texts without n-grams aren't
-    selected. Without clean labels all others are. Repeated rows are judged alike.
+    Clean documents are those labelled quality 1 and toxic 0, of which LABELS are used at most.
+    Target texts are clean ones but for one fold in ``folds`` by a hash of the id; raw texts are all.
+    The k rows of largest sample_key are selected (see ``keyed``); by default k is the ``budget``, the number of rows
+    whose ratio is as a clean text's, so that a draw of them leaves clean texts in and decides by
+    weight and chance about those near the level. Labelled texts have no say in how well they
+    themselves are fitted. Labels that disagree about a document count as not clean. Rows with a
+    null doc_id can't be labelled but are judged. Texts without n-grams aren't selected. Without
+    clean labels all weights are 1. Repeated rows are judged alike.
     """
-    _, _, limit, keyed = _learnt(docs, labels, seed, keep_clean, folds)
-    return keyed.select("doc_id", "n_grams", "log_weight", "sample_key", _selected(limit).alias("selected"))
+    clean = _clean(labels, seed)
+    ratios = _ratios(docs, clean, seed, folds)
+    rows = hold(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "n_grams", "log_weight", F.xxhash64("text").alias("h")))
+    rows = keyed(rows, seed)
+    chosen = drawn(rows, budget(rows, clean, seed, keep_clean, folds) if k is None else k)
+    return rows.select("doc_id", "n_grams", "log_weight", "sample_key", chosen.alias("selected"))
 
 
-def filtered(docs: DataFrame, labels: DataFrame, seed: int = 5, keep_clean: float = 0.99, folds: int = 4) -> DataFrame:
-    """The rows of docs that ``judged`` selects, with all columns. Texts are scored twice rather than moved."""
-    ratios, scale, limit, keyed = _learnt(docs, labels, seed, keep_clean, folds)
-    rows = scored(wrapped(docs).withColumn("h", F.xxhash64("text")), ratios)
-    return unwrapped(_keyed(rows, seed, scale).where(_selected(limit)), docs)
+def filtered(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 5, keep_clean: float = 0.99, folds: int = 4) -> DataFrame:
+    """The rows of docs that ``judged`` selects, with all columns.
+
+    Scored texts are written once and read again without them to find the k-th key, so no text is
+    scored twice or shuffled.
+    """
+    clean = _clean(labels, seed)
+    ratios = _ratios(docs, clean, seed, folds)
+    rows = materialize(scored(wrapped(docs).withColumn("h", F.xxhash64("text")), ratios), "scored")
+    rows = keyed(rows, seed)
+    slim = rows.select("doc_id", "n_grams", "mean", "sample_key")
+    return unwrapped(rows.where(drawn(slim, budget(slim, clean, seed, keep_clean, folds) if k is None else k)), docs)
