@@ -3,8 +3,9 @@
 Each source's documents, permuted by a hash, form a stream of words that is repeated as often as its
 target asks for and cut into blocks of equal length. A splitting tree deals the sources' exact block
 quotas to output shards: a node gives its left half a multivariate-hypergeometric share, drawn block
-by block (selection sampling), and the leaves are the shards. Shards then hold disjoint runs of
-permuted blocks, and shuffle them locally by a key.
+by block (selection sampling), and the leaves are the shards. Each shard then draws its quota from
+the source's permuted blocks, which no other shard draws, and shuffles what it has by a key. The mix
+is what shards have drawn.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hold
+from .common import hold, ranked, rekeyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
+#: Rows in a bucket of a permuted stream, about; and how many rows may be equal in id, text and source before they are ranked apart.
+BUCKET = COPIES = 1024
 #: Words in a partition of the mixed corpus, about.
 PART_WORDS = 2_000_000
 
@@ -71,7 +74,8 @@ def _drawn_left(quotas: Column, seed: int, node: Column, draws: Column) -> Colum
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(rank, shards_of): for each block of a source, in order, the shard that draws it, of rows (rank, blocks).
 
-    Shards get equal numbers of blocks, but for one. Quotas are one number a source, in one array.
+    Shards get equal numbers of blocks, but for one, and draw theirs one shard after the other from
+    a permutation of the source's blocks. Quotas are one number a source, in one array.
     """
     row = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("rank", F.col("blocks").cast("long").alias("blocks")))).alias("q"))
     nodes = row.select(F.col("q.rank").alias("ranks"), F.col("q.blocks").alias("quotas"), F.lit(0).alias("low"), F.lit(shards).alias("width"))
@@ -90,38 +94,52 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     each = nodes.select(F.col("low").alias("shard"), F.posexplode(F.arrays_zip("ranks", "quotas")).alias("at", "x"))
     each = each.select("shard", F.col("x.ranks").alias("rank"), F.col("x.quotas").alias("n"))
     runs = each.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("runs"))
-    return runs.select("rank", F.flatten(F.transform("runs", lambda x: F.array_repeat(x["shard"], x["n"].cast("int")))).alias("shards_of"))
-
-
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("row"))
+    dealt = runs.select("rank", F.flatten(F.transform("runs", lambda x: F.array_repeat(x["shard"], x["n"].cast("int")))).alias("dealt"))
+    blocks = F.when(F.size("dealt") > 0, F.sequence(F.lit(0), F.size("dealt") - 1)).otherwise(F.array().cast("array<int>"))
+    permuted = F.sort_array(F.transform(blocks, lambda b: F.struct(F.xxhash64(F.lit(seed), F.col("rank"), b).alias("h"), b.alias("b"))))
+    by_block = F.sort_array(F.zip_with(permuted, "dealt", lambda x, shard: F.struct(x["b"].alias("b"), shard.alias("shard"))))
+    return dealt.select("rank", F.transform(by_block, lambda x: x["shard"]).alias("shards_of"))
 
 
 def _h(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id")
+    """The place of a document in its source's stream, by what it is: rows that tie here are alike."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
 
 
-def _bucket(seed: int, n: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(n))
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select("doc_id", "source", n_words().alias("size"), _h(seed).alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
 def _buckets(sized: DataFrame) -> int:
-    return max(1, -(-sized.count() // 4096))
+    return max(1, -(-sized.count() // BUCKET))
+
 
+def _bucket(n: int) -> Column:
+    return F.floor(F.shiftrightunsigned("h", 32) * F.lit(n) / F.lit(1 << 32))
 
-def _permuted(sized: DataFrame, seed: int) -> DataFrame:
-    """sized with bucket, h and before: the words ahead of a row in its source's permuted stream.
 
-    The stream's order is (bucket, h, row). Buckets hold about 4096 rows, so no source is sorted in one task.
+def _permuted(sized: DataFrame) -> DataFrame:
+    """sized with bucket and before: the words ahead of a row in its source's permuted stream.
+
+    The stream's order is (bucket, h, row); row only decides among rows that are alike, so where files
+    are split doesn't show. Rows that more than COPIES times are alike stand in their bucket
+    as one, and are ranked by runs of row among themselves, so neither a source nor a repeated row
+    is sorted in one task.
     """
-    p = sized.withColumn("h", _h(seed)).withColumn("bucket", _bucket(seed, _buckets(sized)))
-    sums = p.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("source", "bucket").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    joined = p.join(sums, p.source.eqNullSafe(sums.s) & (p.bucket == sums.b))
-    return joined.withColumn("before", F.col("ahead") + F.col("inside")).drop("s", "b", "ahead", "inside")
+    n = _buckets(sized)
+    kept = [*sized.columns, "before"]
+    many = hold(sized.groupBy("source", "h").agg(F.count("*").alias("copies"), F.first("size").alias("size")).where(F.col("copies") > COPIES))
+    if many.isEmpty():
+        return ranked(sized, ["source"], ["h", "row"], F.col("size"), _bucket(n)).withColumn("bucket", _bucket(n))
+    like = many.select(F.col("source").alias("s"), rekeyed(F.col("h")).alias("k"))
+    alike = sized.source.eqNullSafe(like.s) & (sized.h == like.k)
+    few = sized.join(like, alike, "left_anti").withColumn("words", F.col("size"))
+    stand = many.select(F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), "source", "size", "h", F.lit(-1).cast("long").alias("row"), (F.col("size") * F.col("copies")).alias("words"))
+    both = ranked(few.unionByName(stand), ["source"], ["h", "row"], F.col("words"), _bucket(n))
+    first = both.where("row < 0").select(F.col("source").alias("s"), rekeyed(F.col("h")).alias("k"), F.col("before").alias("first"))
+    copies = sized.join(first, sized.source.eqNullSafe(first.s) & (sized.h == first.k)).drop("s", "k")
+    inside = ranked(copies, ["source", "h"], ["row"], F.col("size"), F.shiftrightunsigned("row", 10)).withColumn("before", F.col("before") + F.col("first"))
+    return both.where("row >= 0").select(*kept).unionByName(inside.select(*kept)).withColumn("bucket", _bucket(n))
 
 
 def _quotas(sized: DataFrame, weights, repeats: int) -> DataFrame:
@@ -135,20 +153,21 @@ def _planned(sized: DataFrame, weights, repeats: int, shards: int, blocks: int,
     q = hold(q.withColumn("blocks", F.ceil(F.col("quota") / F.col("length")).cast("long")))
     tree = splitting_tree(q.select("rank", "blocks"), shards, seed)
     plan = q.join(tree, "rank", "left").withColumnRenamed("source", "s")
-    p = _permuted(sized, seed)
+    p = _permuted(sized)
     return p.join(plan, p.source.eqNullSafe(plan.s))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target and spans.
 
-    spans are what the mix takes of it: (copy, start, words, block, shard), counted in words; shards
-    hold disjoint runs of whole blocks of a source, its last block may be shorter. docs needs doc_id,
+    spans are what shards draw of it: (copy, start, words, block, shard, shuffle_key), counted in
+    words, the key being that by which the shard shuffles them. Shards hold whole blocks of a
+    source, each block one shard; a source's last block may be shorter. docs needs doc_id,
     text and source. A null or blank text has size 0 and no spans; a null source is a source; rows
-    that repeat a doc_id are documents of their own; an empty table gives no rows. The words taken
-    of a source are its target, rounded.
+    that repeat a doc_id are documents of their own; an empty table gives no rows. The words drawn
+    of a source are its target, rounded. Reruns agree, however the table's files are split.
     """
-    sized = hold(_sized(docs))
+    sized = hold(_sized(docs, seed))
     joined = _planned(sized, weights, repeats, shards, blocks, seed)
 
     def of_copy(c):
@@ -158,22 +177,19 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int =
 
         def span(b):
             lo, hi = F.greatest(start, b * F.col("length")), F.least(end, (b + 1) * F.col("length"))
-            return F.struct(c.alias("copy"), (lo - start).alias("start"), (hi - lo).alias("words"), b.alias("block"), F.get("shards_of", b.cast("int")).alias("shard"))
+            shard = F.get("shards_of", b.cast("int"))
+            return F.struct(c.alias("copy"), (lo - start).alias("start"), (hi - lo).alias("words"), b.alias("block"), shard.alias("shard"), F.xxhash64(F.lit(seed), shard, F.col("h"), lo).alias("shuffle_key"))
 
-        return F.when(end > start, F.transform(F.sequence(first, last), span)).otherwise(F.array())
+        return F.when(end > start, F.filter(F.transform(F.sequence(first, last), span), lambda x: x["shard"].isNotNull())).otherwise(F.array())
 
     spans = F.flatten(F.array(*[of_copy(F.lit(c).cast("long")) for c in range(repeats)]))
     return joined.select("doc_id", "source", "size", "source_size", "target", spans.alias("spans"))
 
 
-def _shuffle_key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "shard", "doc_id", "copy", "block")
-
-
-def drawn(mix: DataFrame, seed: int = 3) -> DataFrame:
-    """The spans of a mix, a row each, with the key by which its shard shuffles them locally."""
+def drawn(mix: DataFrame) -> DataFrame:
+    """The spans of a mix, a row each, in the partitions and order of their shards."""
     rows = mix.select("doc_id", "source", F.explode("spans").alias("x")).select("doc_id", "source", "x.*")
-    return rows.withColumn("shuffle_key", _shuffle_key(seed))
+    return rows.repartitionByRange("shard", "shuffle_key").sortWithinPartitions("shard", "shuffle_key")
 
 
 def dealt_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
@@ -185,7 +201,7 @@ def dealt_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats:
     a row for each source, copy and block; these are broadcast, and each text finds its blocks
     where it is read. Documents without words aren't taken.
     """
-    return _dealt(docs, hold(_sized(docs)), weights, repeats, shards, blocks, seed)
+    return _dealt(docs, hold(_sized(docs, seed)), weights, repeats, shards, blocks, seed)
 
 
 def _dealt(docs: DataFrame, sized: DataFrame, weights, repeats: int, shards: int, blocks: int, seed: int) -> DataFrame:
@@ -197,12 +213,12 @@ def _dealt(docs: DataFrame, sized: DataFrame, weights, repeats: int, shards: int
     place = F.struct("bucket", "h", "row")
     runs = p.groupBy("s", "copy", "block", "shard").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     plan = runs.groupBy("s").agg(F.collect_list(F.struct("copy", "block", "shard", "first", "last")).alias("_runs"))
-    wide = docs.select("doc_id", "source", _bucket(seed, n_buckets).alias("bucket"), _h(seed).alias("h"), F.monotonically_increasing_id().alias("row"), n_words().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    wide = wide.where("size > 0").withColumn("place", place)
+    wide = docs.select("source", _h(seed).alias("h"), F.monotonically_increasing_id().alias("row"), F.col("text").rlike(WORD).alias("any"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    wide = wide.where("any").withColumn("bucket", _bucket(n_buckets)).withColumn("place", place)
     rows = wide.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")))
     mine = F.filter("_runs", lambda x: (x["first"] <= F.col("place")) & (F.col("place") <= x["last"]))
-    rows = rows.select("doc_id", "row", "_row", F.explode(mine).alias("x")).select("doc_id", "row", "_row", "x.copy", "x.block", "x.shard")
-    return rows.withColumn("shuffle_key", _shuffle_key(seed)).drop("doc_id")
+    rows = rows.select("h", "row", "_row", F.explode(mine).alias("x")).select("h", "row", "_row", "x.copy", "x.block", "x.shard").where("shard is not null")
+    return rows.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "shard", "h", "row", "copy", "block")).drop("h")
 
 
 def taken_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats: int = REPEATS, shards: int = 16, blocks: int = 256, seed: int = 3) -> DataFrame:
@@ -211,7 +227,7 @@ def taken_whole(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), repeats:
     See ``dealt_whole``. A shard is as many partitions as its words ask for, cut by ranges of the
     shuffle key, so no shard is sorted in one task; texts move once. Rows of equal key are in the order of docs.
     """
-    sized = hold(_sized(docs))
+    sized = hold(_sized(docs, seed))
     words = sized.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-words // (shards * PART_WORDS)))
     rows = _dealt(docs, sized, weights, repeats, shards, blocks, seed)

@@ -29,7 +29,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mix = mixed(table(spark, sf_dir, "documents"))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mix.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("spans.shard").alias("shards"), F.col("spans.shuffle_key").alias("shuffle_keys"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.llm import mixing
 from evenkeel.llm.mixing import dealt_whole, drawn, mixed, splitting_tree, taken_whole, targets
 
 SCHEMA = "doc_id long, text string, source string"
@@ -51,6 +52,67 @@ def test_targets_and_words_taken(spark, seed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")).collect())) if None not in sizes else True
 
 
+def test_only_what_the_tree_deals_is_taken(spark, monkeypatch):
+    """Shards of the right half deal nothing: their blocks are in no mix, and what is left has the tree's shards."""
+    docs = spark.createDataFrame([r for r in corpus(8, 400) if r[0] < 900], SCHEMA)
+    whole = drawn(mixed(docs, shards=4, blocks=20)).collect()
+    true = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, shards, seed: true(q, shards, seed).withColumn("shards_of", F.transform("shards_of", lambda x: F.when(x < 2, x))))
+    half = drawn(mixed(docs, shards=4, blocks=20)).collect()
+    assert sorted(map(tuple, half)) == sorted(tuple(r) for r in whole if r["shard"] < 2) and 0 < len(half) < len(whole)
+    got = dealt_whole(docs, shards=4, blocks=20).select("shard").distinct().collect()
+    assert {r[0] for r in got} == {0, 1}
+
+
+def plainly(rows, shards, blocks, seed, tree):
+    """The mix of (doc_id, text, source, h, size) by sorting and walking: words drawn by (doc_id, copy, start, shard)."""
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    quota = {s: round(t) for s, t in water_filled({s: sum(r["size"] for r in x) for s, x in by.items()}).items()}
+    names = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
+    out = []
+    for rank, s in enumerate(names):
+        length, at = max(1, -(-quota[s] // blocks)), 0
+        n = -(-sum(r["size"] for r in by[s]) // 1)
+        top = max(1, -(-len(rows) // mixing.BUCKET))
+        stream = sorted(by[s], key=lambda r: (((r["h"] % (1 << 64)) >> 32) * top // (1 << 32), r["h"]))
+        for copy in range(3):
+            for r in stream:
+                for w in range(r["size"]):
+                    if at < quota[s]:
+                        out.append((r["doc_id"], copy, w, tree[rank][at // length]))
+                    at += 1
+        assert at == 3 * n
+    return out
+
+
+def test_mix_is_the_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    docs = spark.createDataFrame([r for r in corpus(9, 150) if r[0] < 900], SCHEMA)
+    rows = docs.select("*", mixing._h(3).alias("h"), mixing.n_words().alias("size")).collect()
+    sized = mixing._quotas(docs.select("source", mixing.n_words().alias("size")), (5, 2, 1), 3).withColumn("length", F.greatest(F.lit(1), F.ceil(F.col("quota") / 10)))
+    tree = {r["rank"]: r["shards_of"] for r in splitting_tree(sized.select("rank", F.ceil(F.col("quota") / F.col("length")).alias("blocks")), 3, 3).collect()}
+    got = [(r["doc_id"], r["copy"], w, r["shard"]) for r in drawn(mixed(docs, shards=3, blocks=10)).collect() for w in range(r["start"], r["start"] + r["words"])]
+    assert sorted(got) == sorted(plainly(rows, 3, 10, 3, tree))
+
+
+def test_repeated_rows_are_spread_and_reruns_agree(spark, monkeypatch):
+    """A third of the rows are one row, another third share an id: the mix doesn't depend on how the table is split."""
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    monkeypatch.setattr(mixing, "BUCKET", 64)
+    rows = [(None, "same text here", "a") if i % 3 == 0 else (7, "w " * (1 + i % 9), "abc"[i % 5 % 3]) if i % 3 == 1 else (i, "x " * (i % 7), "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    show = lambda df: sorted((str(r["doc_id"]), str(r["source"]), r["size"], str([tuple(x) for x in r["spans"]])) for r in mixed(df).collect())
+    a = show(docs.repartition(3, "text"))
+    assert a == show(docs.coalesce(1)) and len(a) == 900
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abc"}
+    total = {r["source"]: r["n"] for r in drawn(mixed(docs)).groupBy("source").agg(F.sum("words").alias("n")).collect()}
+    assert total == {s: round(t) for s, t in water_filled(sizes).items()}
+    times = sorted(r["text"] for r in taken_whole(docs.repartition(3, "text")).collect())
+    assert times == sorted(r["text"] for r in taken_whole(docs.coalesce(1)).collect())
+
+
 def test_spans_are_disjoint_and_shards_even(spark):
     rows = corpus(4, 400)
     spans = drawn(mixed(spark.createDataFrame(rows, SCHEMA), shards=5, blocks=20)).collect()

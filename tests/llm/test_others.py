@@ -264,6 +264,65 @@ def test_language_id_on_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_language(text, model, level=5):
+    """The same rule by fresh compressors: mean size over two halves of a dictionary, windows of 2048 bytes."""
+    import zstandard
+
+    letters = "".join(c if c.isalpha() else " " for c in text or "").split()
+    data = (" " + " ".join(letters).lower() + " ").encode()
+    if not letters:
+        return "und", 0.0
+    sizes = []
+    for lang, d in model.items():
+        half = max(256, (len(d) + 1) // 2)
+        parts = [zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (d[:half], d[half:]) if x]
+        n = 0
+        for x in parts:
+            x.precompute_compress(level=level)
+            c = zstandard.ZstdCompressor(dict_data=x, write_content_size=False, write_dict_id=False)
+            n += sum(len(c.compress(data[i : i + 2048])) for i in range(0, len(data), 2048))
+        sizes.append((n / len(parts), lang))
+    sizes.sort()
+    return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+
+
+def test_language_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs)
+    for r in langid.identify(docs, model).collect():
+        lang, score = plain_language(r["text"], model)
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score)) and r["accepted"] == (lang != "und" and score >= langid.NARROW)
+
+
+def test_copies_do_not_hide_a_language(spark):
+    """20,000 rows of one German text, 50 English ones: both are learnt, from distinct texts."""
+    german, words = "der die das und nicht mit von einer werden sich " * 5, "the and with from this that have which would their".split()
+    rng = random.Random(2)
+    copies = spark.range(20000).select("id", F.lit(german).alias("text"), F.lit("de").alias("lang"))
+    few = spark.createDataFrame([(20000 + i, " ".join(rng.choices(words, k=40)), "en") for i in range(50)], "id long, text string, lang string")
+    docs = copies.union(few).withColumnRenamed("id", "doc_id")
+    model = langid.learn(docs, per_language=20)
+    assert sorted(model) == ["de", "en"]
+    assert {tuple(r) for r in langid.identify(docs, model).select("lang", "lang_pred").distinct().collect()} == {("de", "de"), ("en", "en")}
+    many = docs.withColumn("lang", F.when(F.col("lang") == "en", F.concat("lang", F.col("doc_id") % 3)).otherwise(F.col("lang")))
+    assert len(langid.learn(many, languages=2)) == 2
+
+
+def test_learning_takes_windows_from_all_over(spark):
+    """Texts of 20,000 words that tell their place: the windows lie early, late and between, and hold whole words."""
+    names = [f"{a}{b}{c}q" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij"]
+    rows = [(4 * i, " ".join(x for x in names for _ in range(5)) + f" {'xyz'[i % 3] * (i + 1)}", "en") for i in range(60)]
+    data = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), clip=300)["en"].decode().split()
+    at = {names.index(w) // 250 for w in data if w in names}
+    assert at == {0, 1, 2, 3} and all(w in names or set(w) <= set("xyz") for w in data)
+
+
+def test_only_letters_have_a_language(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["\u00b2", "\u00bd \u2460", "12_3", "\u216b", "a", "\u05d0", "\u00aa"])], "doc_id long, text string")
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, {"de": b"der die das und nicht", "en": b"the and with"}).collect()}
+    assert [i for i in out if out[i] == "und"] == [0, 1, 2, 3]
+
+
 def test_language_edge_cases(spark):
     en, de = "the and with from this that have ", "der die das und nicht mit von "
     rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de", "s") for i in range(40)]
@@ -326,6 +385,57 @@ def test_ratios_against_brute_force(spark):
         assert got[f] == pytest.approx(math.log(target[f] + 2.0) - math.log(raw[f] * share + 2.0))
 
 
+def test_selected_against_brute_force(spark, sf):
+    """Everything but the Gumbel variates, which are hashes, is done again in Python."""
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fold = lambda c: (F.pmod(F.xxhash64(F.lit(5), c), F.lit(4)) == 0).alias("fold")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), fold("doc_id")).withColumn("g", quality.gumbel(5, "doc_id", "h")).collect()
+    said = {}
+    for r in labels.collect():
+        said.setdefault(r["doc_id"], []).append((r["quality"] or 0) == 1 and r["toxic"] == 0)
+    clean = {i for i, x in said.items() if all(x)}
+    found = [quality.features(r["text"].encode() if r["text"] is not None else None) for r in rows]
+    raw = np.bincount(np.concatenate(found), minlength=quality.BUCKETS)
+    target = np.bincount(np.concatenate([f for f, r in zip(found, rows) if r["doc_id"] in clean and not r["fold"]]), minlength=quality.BUCKETS)
+    ratio = np.log(target + 10.0) - np.log(raw * target.sum() / raw.sum() + 10.0)
+    mean = [ratio[f].mean() if len(f) else None for f in found]
+    held = sorted((m for m, r in zip(mean, rows) if r["fold"] and r["doc_id"] in clean and m is not None), reverse=True)
+    low, middle = held[math.ceil(len(held) * 0.99) - 1], held[math.ceil(len(held) * 0.5) - 1]
+    k = sum(m is not None and m >= low - quality.SLACK * (middle - low) - 1e-12 for m in mean)
+    keys = [-math.inf if m is None else quality.LENGTH * m + r["g"] for m, r in zip(mean, rows)]
+    for n, got in ((k, quality.judged(docs, labels)), (40, quality.judged(docs, labels, k=40))):
+        limit = sorted(keys, reverse=True)[n - 1]
+        out = {r["doc_id"]: r for r in got.collect()}
+        assert all(out[r["doc_id"]]["sample_key"] == pytest.approx(x, abs=1e-6) for x, r in zip(keys, rows))
+        assert sorted(i for i, r in out.items() if r["selected"]) == sorted(r["doc_id"] for x, r in zip(keys, rows) if x >= limit - 1e-9)
+
+
+def test_draws_follow_weights(spark):
+    """Of two rows the heavier comes first with probability w / (w + 1); of many, the k drawn are in proportion."""
+    weights = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("h"), F.lit(1).alias("n_grams"), F.when(F.col("id") % 4 == 0, math_log(3.0) / quality.LENGTH).otherwise(0.0).alias("log_weight"))
+    rows = quality.keyed(weights, 1)
+    for k in (200, 1000):
+        got = rows.where(quality.drawn(rows, k)).agg(F.count("*"), F.count_if(F.col("doc_id") % 4 == 0)).first()
+        assert got[0] == k and abs(got[1] / k - 0.5) < 4 * (0.25 / k) ** 0.5 + 0.02  # a quarter of the rows, of weight 3 against 1
+    first = 0
+    for seed in range(40):
+        pair = quality.keyed(spark.range(50).select(F.floor(F.col("id") / 2).alias("h"), (F.col("id") % 2).alias("doc_id"), F.lit(1).alias("n_grams"), F.when(F.col("id") % 2 == 0, math_log(4.0) / quality.LENGTH).otherwise(0.0).alias("log_weight")), seed)
+        best = pair.groupBy("h").agg(F.max_by("doc_id", "sample_key").alias("b"))
+        first += best.where("b = 0").count()
+    assert abs(first / 1000 - 0.8) < 0.05
+    assert rows.where(quality.drawn(rows, 0)).count() == 0 and rows.where(quality.drawn(rows, 30000)).count() == 20000
+
+
+def math_log(x):
+    import math
+
+    return math.log(x)
+
+
 def test_kth_largest(spark):
     rng = random.Random(1)
     values = [rng.choice([rng.gauss(0, 1), 0.5, -3.0, 1e-300, float("-inf")]) for _ in range(500)] + [None]
@@ -344,6 +454,7 @@ def test_quality_edge_cases(spark):
     kept = quality.filtered(docs, spark.createDataFrame([(1, 1, None), (1, 0, 0), (None, 1, 0)], none.schema))
     assert kept.columns == docs.columns and kept.count() == 4
     assert quality.judged(docs.limit(0), none).count() == 0
+    assert quality.filtered(docs.limit(0), none).count() == 0 and quality.filtered(docs, none, k=0).count() == 0
 
 
 def test_gumbel_is_standard(spark):

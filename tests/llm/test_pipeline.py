@@ -8,6 +8,7 @@ pytest.importorskip("public_tokenizers")
 from evenkeel.llm import langid, mixing, packing, quality  # noqa: E402
 from evenkeel.llm.common import materialize  # noqa: E402
 from tests.llm.test_minhash import brute  # noqa: E402
+from tests.llm.test_others import plain_language  # noqa: E402
 
 
 def ids(df):
@@ -28,8 +29,8 @@ def test_stages(spark, sf):
 
     before, after = outs["language_id"]
     model = tuple(sorted(langid.learn(before).items()))
-    compressors = langid._compressors(model, 5)
-    want = [r["doc_id"] for r in before.collect() if (x := langid.classify(r["text"], compressors))[0] != "und" and x[1] > 0]
+    told = [(r["doc_id"], *plain_language(r["text"], dict(model))) for r in before.collect()]
+    want = [i for i, lang, score in told if lang != "und" and score >= langid.NARROW]
     assert ids(after) == sorted(want) and len(want) >= 0.95 * before.count()
 
     before, after = outs["near_dedup"]
@@ -59,3 +60,11 @@ def test_run_is_registered(spark, sf):
 
     assert e.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in e.queries() if q.startswith("op") and q[2].isdigit()}
+
+
+def test_empty_table(spark, sf, tmp_path):
+    import shutil
+
+    shutil.copy(f"{sf}/labels.parquet", tmp_path / "labels.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
