@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,40 @@ def zipf_key(row: Column, size: int, factor: float, seed: int = 0) -> Column:
     return F.least(F.lit(size), F.floor(F.pow((F.pow(F.lit(size + 1.0), F.lit(e)) - 1) * uniform(row, seed) + 1, F.lit(1 / e)))).cast("long")
 
 
+#: Ranks of a discrete law, at most: its table is a literal of the plan.
+RANKS = 100_000
+
+
+@lru_cache(maxsize=8)
+def alias_table(size: int, factor: float) -> tuple[tuple[float, ...], tuple[int, ...]]:
+    """(share, other) by rank from 0, so that a uniform rank that is kept with its share, else replaced by the other, follows rank ** -factor."""
+    weights = [(r + 1) ** -factor for r in range(size)]
+    total = sum(weights)
+    share, other = [w * size / total for w in weights], list(range(size))
+    under, over = [i for i, x in enumerate(share) if x < 1], [i for i, x in enumerate(share) if x >= 1]
+    while under and over:
+        low, high = under.pop(), over[-1]
+        other[low] = high
+        share[high] -= 1 - share[low]
+        if share[high] < 1:
+            under.append(over.pop())
+    for i in under + over:
+        share[i] = 1.0
+    return tuple(share), tuple(other)
+
+
+def discrete_zipf_key(row: Column, size: int, factor: float, seed: int = 0) -> Column:
+    """Keys 1..size with probabilities exactly in proportion to rank ** -factor, by the alias method: one look at a table of size ranks."""
+    if not 1 <= size <= RANKS:
+        raise ValueError(f"size must be from 1 to {RANKS}")
+    share, other = (F.split(F.lit(",".join(map(repr, x))), ",") for x in alias_table(size, factor))
+    rank = F.floor(uniform(row, seed) * size).cast("int")
+    kept = uniform(row, seed + 1) < F.get(share.cast("array<double>"), rank)
+    return (F.when(kept, rank).otherwise(F.get(other.cast("array<int>"), rank)) + 1).cast("long")
+
+
 def skewed_key(row: Column, size: int, factor: float, seed: int = 0) -> Column:
-    """Uniform keys below a factor of 1, else Zipf keys."""
-    return uniform_key(row, size, seed) if factor < 1 else zipf_key(row, size, factor, seed)
+    """Uniform keys below a factor of 1, else Zipf keys: of the discrete law for domains of up to RANKS keys, beyond of the continuous one."""
+    if factor < 1:
+        return uniform_key(row, size, seed)
+    return discrete_zipf_key(row, size, factor, seed) if size <= RANKS else zipf_key(row, size, factor, seed)

@@ -19,10 +19,11 @@ def limit(n: int, ratio: float, floor: int) -> int:
 def heavy_exact(rows: DataFrame, key: str, ratio: float = 0.001, floor: int = 10) -> DataFrame:
     """(key, cnt) of keys with more than max(floor, ratio * n) rows; floor 0 gives the plain offline rule.
 
-    Counts are combined before their shuffle; the total is a sum over the counts, so the rows are read once.
+    Counts are combined before their shuffle. n, over all rows, is a second, narrow scan, or none where
+    the files' footers tell it.
     """
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("cnt"))
-    n = rows.agg(F.count("*").alias("n"))  # a count from file footers
+    n = rows.agg(F.count("*").alias("n"))
     above = F.greatest(F.lit(floor), F.floor(F.col("n") * ratio)) if floor else F.col("n") * ratio
     return counts.join(F.broadcast(n), F.col("cnt") > above).select(key, "cnt")
 
@@ -50,27 +51,57 @@ def flagged_online(rows: DataFrame, key: str, sender: str, order: list[str], rat
 
 
 class SpaceSaving:
-    """Bounded counter of the most frequent keys. ``hit`` tells whether a key's own hits exceed the limit."""
+    """Bounded counter of the most frequent keys. ``hit`` tells whether a key's own hits exceed the limit.
+
+    Keys stand in falling order of count. One that gains a count, or comes in for another, stands before those
+    of its new count; keys that come in while there is room stand last. The last is the one to go, so
+    of the least count that is the one that reached it first, or of count 1 the one that came last.
+    """
 
     def __init__(self, capacity: int, ratio: float, floor: int):
         self.capacity, self.ratio, self.floor = capacity, ratio, floor
-        self.n = 0
-        self.counts: dict = {}  # key -> [count, count inherited when it came in, order of coming in]
+        self.n, self.low = 0, 1
+        self.counts: dict = {}  # key -> (count, count it came in with)
+        self.having: dict[int, dict] = {}  # count -> its keys by when they reached it
+
+    def limit(self) -> int:
+        return max(int(self.n * self.ratio), self.floor)
+
+    def _place(self, key, count: int, first: int) -> None:
+        self.counts[key] = count, first
+        self.having.setdefault(count, {})[key] = None
+
+    def _leave(self, key, count: int) -> None:
+        there = self.having[count]
+        del there[key]
+        if not there:
+            del self.having[count]
 
     def hit(self, key) -> bool:
         self.n += 1
         if (x := self.counts.get(key)) is not None:
-            x[0] += 1
-            return x[0] - x[1] > max(int(self.n * self.ratio), self.floor)
+            count, first = x
+            self._leave(key, count)
+            self._place(key, count + 1, first)
+            return count + 1 - first > self.limit()
         if len(self.counts) < self.capacity:
-            self.counts[key] = [1, 1, self.n]
-        else:
-            # The smallest count goes, of equals the one that came last; its count is inherited as error.
-            out = min(self.counts, key=lambda k: (self.counts[k][0], -self.counts[k][2]))
-            low = self.counts.pop(out)[0]
-            self.counts[key] = [low + 1, low, self.n]
+            self._place(key, 1, 1)
+            self.low = 1
+        elif self.capacity:
+            while self.low not in self.having:
+                self.low += 1
+            there = self.having[self.low]
+            out = next(reversed(there)) if self.low == 1 else next(iter(there))
+            self._leave(out, self.low)
+            del self.counts[out]
+            self._place(key, self.low + 1, self.low)
         return False
 
+    def dump(self) -> list[tuple]:
+        """(key, count, own hits after coming in, flag) by falling order; the flag is for reaching the limit, not only for exceeding it."""
+        order = [k for c in sorted(self.having, reverse=True) for k in (self.having[c] if c == 1 else reversed(self.having[c]))]
+        return [(k, self.counts[k][0], self.counts[k][0] - self.counts[k][1], self.counts[k][0] - self.counts[k][1] >= self.limit()) for k in order]
+
 
 def _streams(rows: DataFrame, sender: str, order: list[str]) -> DataFrame:
     """Each sender's rows in order, in one partition, not gathered."""
@@ -99,6 +130,39 @@ def flagged_sketch(rows: DataFrame, key: str, sender: str, order: list[str], cap
     return _streams(rows, sender, order).mapInArrow(run, f"{kinds}, heavy boolean")
 
 
+def sketch_dumped(rows: DataFrame, key: str, sender: str, order: list[str], capacity: int = 50, ratio: float = 0.001, floor: int = 10) -> DataFrame:
+    """(sender, place, key, cnt, own, heavy): each sender's bounded sketch after its last row, largest first."""
+    names = [f.name for f in rows.schema.fields]
+
+    def run(batches):
+        sketches: dict = {}
+        for b in batches:
+            for s, k in zip(b.column(names.index(sender)).to_pylist(), b.column(names.index(key)).to_pylist()):
+                if s not in sketches:
+                    sketches[s] = SpaceSaving(capacity, ratio, floor)
+                sketches[s].hit(k)
+        out = [(s, i, *x) for s, sketch in sketches.items() for i, x in enumerate(sketch.dump())]
+        yield pa.RecordBatch.from_pylist([dict(zip(fields, x)) for x in out], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [sender, "place", key, "cnt", "own", "heavy"]
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    arrow = pa.schema([(sender, to_arrow_type(kind[sender])), ("place", pa.int32()), (key, to_arrow_type(kind[key])), ("cnt", pa.int64()), ("own", pa.int64()), ("heavy", pa.bool_())])
+    ddl = f"`{sender}` {kind[sender].simpleString()}, place int, `{key}` {kind[key].simpleString()}, cnt long, own long, heavy boolean"
+    return _streams(rows, sender, order).mapInArrow(run, ddl)
+
+
+def found_by_sketch(rows: DataFrame, key: str, sender: str, ratio: float = 0.001, floor: int = 10, items: int = 10_000) -> DataFrame:
+    """(sender, key) of the keys that each sender's mergeable sketch estimates over its limit.
+
+    Sketches are combined before their shuffle and don't depend on the order of rows, so no sender's rows meet in one task.
+    """
+    per = rows.where(F.col(key).isNotNull()).groupBy(sender).agg(F.expr(f"approx_top_k(`{key}`, {min(items, max(1, int(1 / ratio)))}, {items})").alias("top"), F.count("*").alias("n"))
+    x = per.select(sender, "n", F.explode("top").alias("x")).where(F.col("x.count") > F.greatest(F.lit(floor), F.floor(F.col("n") * ratio)))
+    return x.select(sender, F.col("x.item").alias(key))
+
+
 def ever_flagged(flagged: DataFrame, key: str, sender: str) -> DataFrame:
     """(sender, key) of the keys that a sender found heavy at any row."""
     return flagged.where("heavy").select(sender, key).distinct()

@@ -44,15 +44,19 @@ def parse(text: str) -> dict[str, str]:
     return out
 
 
-def read(path: str) -> Options:
-    """Options of a settings file; keys that aren't options are ignored."""
-    raw = parse(Path(path).read_text())
+def of(text: str) -> Options:
+    """Options of settings text; keys that aren't options are ignored."""
     kinds = {f.name: type(f.default) for f in fields(Options)}
     got = {}
-    for key, value in raw.items():
+    for key, value in parse(text).items():
         name = NAMES.get(key, key)
         if name == "strategy":
             got[name] = STRATEGIES[int(value)] if value.isdigit() else value
         elif name in kinds:
             got[name] = value not in ("0", "false") if kinds[name] is bool else kinds[name](value)
     return Options(**got)
+
+
+def read(path: str) -> Options:
+    """Options of a settings file."""
+    return of(Path(path).read_text())

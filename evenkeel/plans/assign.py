@@ -121,6 +121,18 @@ def moved(big: DataFrame, small: DataFrame, sender: str = "sender") -> DataFrame
     return parts[0].unionByName(parts[1])
 
 
+def moved_bytes(big: DataFrame, small: DataFrame, key: str, value: str, n: int, sender: str = "sender") -> DataFrame:
+    """(side, phase, rows, bytes) of what leaves its sender: bytes of keys and values as UTF-8 text.
+
+    Rows of big and those of small that go home are sent, copies of small that go elsewhere are fetched.
+    """
+    size = F.octet_length(F.col(key).cast("string")) + F.octet_length(value)
+    away = lambda x, name, phase: placed(x).where(F.col("bucket") != F.col(sender)).select(F.lit(name).alias("side"), phase.alias("phase"), size.alias("size"))
+    at_home = F.when(F.col("bucket") == home(F.col(key), n), "sent").otherwise("fetched")
+    both = away(big, "big", F.lit("sent")).unionByName(away(small, "small", at_home))
+    return both.groupBy("side", "phase").agg(F.count("*").alias("rows"), F.sum("size").cast("long").alias("bytes"))
+
+
 def assignment(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
     """(side, key, bucket, cnt): how many rows of a key each bucket gets."""
     parts = [placed(x).groupBy(key, "bucket").agg(F.count("*").alias("cnt")).select(F.lit(name).alias("side"), key, "bucket", "cnt") for name, x in (("big", big), ("small", small))]

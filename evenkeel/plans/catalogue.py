@@ -1,7 +1,7 @@
 """The registered queries over the driver tables, and their SQL.
 
-Fixtures F1 (hot probe keys), F2 (tiny key domain) and F3 (all classes) are those of
-``sources.fixtures``; six buckets make a grid of 2 x 3, and there are four senders.
+Fixtures F1 (hot probe keys), F2 (tiny key domain), F3 (all classes) and F4 (one key with more rows than
+a partition's share, on both sides) are those of ``sources.fixtures``; six buckets make a grid of 2 x 3, and there are four senders.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ for _s in STRATEGIES:
         x = _sides(spark, sf, "f1")
         return joins.skew_join(x.big, x.small.drop("sender"), "k", s, ratio=RATIO, floor=FLOOR).select(*_F1_COLUMNS.split(", "))
 
-    for _f in ("f2", "f3"):
+    for _f in ("f2", "f3", "f4"):
 
         @_register(f"join_count_{_s}_{_f}", _with(_f) + "SELECT count(*) AS result_rows FROM big JOIN small USING (k)")
         def _count(spark, sf, s=_s, f=_f):
@@ -128,6 +128,43 @@ def _auto(spark, sf):
     return joins.skew_join(x.big, x.small.drop("sender"), "k", "auto").select(*_F1_COLUMNS.split(", "))
 
 
+for _f in ("f2", "f3", "f4"):
+
+    @_register(f"join_count_auto_{_f}", _with(_f) + "SELECT count(*) AS result_rows FROM big JOIN small USING (k)")
+    def _auto_count(spark, sf, f=_f):
+        x = _sides(spark, sf, f)
+        return joins.skew_join(x.big.select("k", "sender"), x.small.select("k"), "k").agg(F.count("*").alias("result_rows"))
+
+
+@_register("join_bnr_composite", _with("f1") + "SELECT count(*) AS result_rows, sum(l_linenumber)::BIGINT AS lines FROM (SELECT 'a,' || k AS x, sender, l_linenumber FROM big) b JOIN (SELECT 'a,' || k AS x, s.sender FROM small, (SELECT unnest(range(4)) AS sender) s) USING (x, sender)")
+def _composite(spark, sf):
+    """Keys of two columns."""
+    x = _sides(spark, sf, "f1")
+    key = F.concat(F.lit("a,"), F.col("k")).alias("x")
+    small = x.small.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("sender"))
+    out = joins.skew_join(x.big.select(key, "sender", "l_linenumber"), small, ["x", "sender"], "bnr", ratio=RATIO, floor=FLOOR)
+    return out.agg(F.count("*").alias("result_rows"), F.sum("l_linenumber").alias("lines"))
+
+
+@_register("join_bnr_double", _with("f1") + "SELECT count(*) AS result_rows FROM (SELECT k // 2 AS k FROM big) JOIN (SELECT DISTINCT k // 2 AS k FROM small) USING (k)")
+def _double(spark, sf):
+    """Keys of type double, 0 as -0.0 on one side."""
+    x = _sides(spark, sf, "f1")
+    key = F.floor(F.col("k") / 2).cast("double")
+    big = x.big.select(F.when(key == 0, F.lit(-0.0)).otherwise(key).alias("k"), "sender")
+    return joins.skew_join(big, x.small.select(key.alias("k")).distinct(), "k", "bnr", ratio=RATIO, floor=FLOOR).agg(F.count("*").alias("result_rows"))
+
+
+@_register("options_join", _with("f1") + f"SELECT {_F1_COLUMNS} FROM big JOIN (SELECT k, value FROM small) USING (k)")
+def _configured(spark, sf):
+    """As settings text says: balanced spreading of the keys that all senders find."""
+    from ..options import of
+
+    x = _sides(spark, sf, "f1")
+    options = of("hj_type=3 node_nums=6 balance_factor=0.3 dynamic_detect=1 enable_ld_sketch=1 frequency_threshold=0.001 # shipped values")
+    return joins.configured_join(x.big, x.small.drop("sender"), "k", options, "sender").select(*_F1_COLUMNS.split(", "))
+
+
 @_register("join_fetch_phase", _placed_sql("f1", "pnr") + f"SELECT pb.bucket::INTEGER AS bucket, k, count(*) AS pairs FROM pb JOIN ps USING (bucket, k) WHERE bucket <> {_HOME} GROUP BY ALL")
 def _fetched(spark, sf):
     """Pairs met away from the key's home: what fetching build rows adds to the first phase."""
@@ -212,6 +249,18 @@ def _sketch(spark, sf):
     return flagged.groupBy("sender").agg(F.count("*").alias("n_rows"), F.count_if("heavy").alias("flagged"))
 
 
+@_register("sketch_flags", _with("f2") + "SELECT sender, k, count(*) AS cnt, count(*) - 1 AS own, count(*) - 1 >= greatest(10, floor(0.001 * any_value(n))) AS heavy FROM big JOIN (SELECT sender, count(*) AS n FROM big GROUP BY sender) USING (sender) GROUP BY sender, k")
+def _flags(spark, sf):
+    """The bounded sketch of each sender, with hits since entry and flags: exact where keys fit its capacity."""
+    return detect.sketch_dumped(_big(spark, sf, "f2"), "k", "sender", ["o_orderkey"], ratio=RATIO, floor=FLOOR).select("sender", "k", "cnt", "own", "heavy")
+
+
+@_register("heavy_mergeable", _with("f1") + "SELECT sender, k FROM (SELECT sender, k, count(*) AS c FROM big GROUP BY sender, k) JOIN (SELECT sender, count(*) AS n FROM big GROUP BY sender) USING (sender) WHERE c > greatest(10, floor(0.001 * n))")
+def _mergeable(spark, sf):
+    """Each sender's hot keys by sketches that are combined; exact where a sender's keys fit them."""
+    return detect.found_by_sketch(_big(spark, sf), "k", "sender", RATIO, FLOOR, items=100_000)
+
+
 @_register("sketch_dump", _with("f2") + "SELECT k, count(*) AS cnt FROM big GROUP BY k")
 def _dump(spark, sf):
     """All counts of a domain that fits the sketch are exact."""
@@ -293,12 +342,29 @@ def _zipf(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").groupBy(keys.zipf_key(F.col("o_orderkey"), 1000, 1.25, 7).alias("k")).agg(F.count("*").alias("cnt"))
 
 
+_SHARE, _OTHER = keys.alias_table(1000, 1.25)
+
+
+@_register("generate_zipf_discrete", f"WITH t AS (SELECT {list(_SHARE)} AS share, {list(_OTHER)} AS other), r AS (SELECT floor({_U.format(seed=7)} * 1000)::BIGINT AS rank, {_U.format(seed=8)} AS u FROM orders) SELECT CAST(CASE WHEN u < share[rank + 1] THEN rank ELSE other[rank + 1] END + 1 AS BIGINT) AS k, count(*) AS cnt FROM r, t GROUP BY 1")
+def _discrete(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").groupBy(keys.discrete_zipf_key(F.col("o_orderkey"), 1000, 1.25, 7).alias("k")).agg(F.count("*").alias("cnt"))
+
+
 @_register("skew_transplant", f"SELECT count(*) AS n_rows, count(*) FILTER ({_U.format(seed=3)} < 0.2) AS moved FROM orders")
 def _transplant(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
     return generate.transplanted(rows, "o_custkey", -1, 0.2, 3, "o_orderkey").agg(F.count("*").alias("n_rows"), F.count_if(F.col("o_custkey") == -1).alias("moved"))
 
 
+_BYTES = "octet_length(encode(CAST(k AS VARCHAR))) + octet_length(encode(value))"
+for _s in ("base", "prpd", "pnr", "flow"):
+
+    @_register(f"moved_bytes_{_s}", _placed_sql("f1", _s).replace("AS bucket FROM big)", "AS bucket, l_orderkey || ',' || l_linenumber AS value FROM big)") + f"SELECT side, phase, count(*) AS rows, coalesce(sum({_BYTES}), 0)::BIGINT AS bytes FROM (SELECT 'big' AS side, 'sent' AS phase, k, value FROM pb WHERE bucket <> sender UNION ALL SELECT 'small', CASE WHEN bucket = {_HOME} THEN 'sent' ELSE 'fetched' END, k, value FROM ps WHERE bucket <> sender) GROUP BY side, phase")
+    def _moved_bytes(spark, sf, s=_s):
+        big, small = assign.ASSIGN[s](_sides(spark, sf, "f1"))
+        return assign.moved_bytes(big.withColumn("value", F.concat_ws(",", "l_orderkey", "l_linenumber")), small, "k", "value", N)
+
+
 @_register("run_statistics", _placed_sql("f1", "prpd") + f"SELECT (SELECT count(*) FROM pb JOIN ps USING (bucket, k)) AS result_rows, (SELECT count(*) FROM pb WHERE bucket <> sender) + (SELECT count(*) FROM ps WHERE bucket <> sender AND bucket = {_HOME}) AS shuffled_rows, (SELECT count(*) FROM ps WHERE bucket <> {_HOME} AND bucket <> sender) AS fetched_rows")
 def _statistics(spark, sf):
     """Result rows, and rows that leave their sender: by hash, and those fetched on request."""

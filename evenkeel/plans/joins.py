@@ -2,72 +2,140 @@
 
 Unlike the assignments, which place rows at numbered senders to compare strategies, these are the
 forms to run: nothing is numbered that needs no number, and hot rows that may stay aren't exchanged.
+
+Keys are only ever compared by Spark's own joins and groups, so what these take as equal (-0.0 and
+0.0, NaN and NaN, nested values) is equal here, and sides can't disagree about a key. Which keys count
+as hot is therefore a matter of cost alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import logging
+import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.placement import grid
-from ..operators.balance import planned
-from ..options import STRATEGIES
+from ..operators import detect
+from ..operators.balance import plan
+from ..options import STRATEGIES, Options
+
+log = logging.getLogger(__name__)
 
 #: Rows of a side that are broadcast, at most; beyond, hot rows are spread and the other side copied.
 BROADCAST_ROWS = 200_000
+#: Hot keys, at most: the driver receives so many, and a broadcast table holds them. Those of fewest rows are left out.
+MAX_KEYS = 100_000
+#: Types whose values are equal exactly if their literals are, and which scans can filter by.
+_LITERAL = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.DateType())
+_ROW, _COLUMN, _CELLS = "_ek_row", "_ek_column", "_ek_cells"
+
+
+def _name(x):
+    if isinstance(x, (list, tuple)):
+        return tuple(map(_name, x))
+    return bytes(x) if isinstance(x, bytearray) else x
 
 
 def _keys(on: str | list[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
-def heavy_keys(rows: DataFrame, on: list[str], ratio: float, floor: int) -> DataFrame:
-    """(*on, cnt) of keys with more than max(floor, ratio * n) rows, fewer than 1 / ratio of them."""
-    counts = rows.select(*on).dropna("any").groupBy(*on).agg(F.count("*").alias("cnt"))
-    n = rows.count()
-    return counts.where(F.col("cnt") > max(floor, int(n * ratio)))
+def _type(side: DataFrame, column: str) -> T.DataType:
+    return side.select(F.col(f"`{column}`")).schema[0].dataType
 
 
+@dataclass
 class Hot:
-    """A collected set of hot keys, as a test of rows.
+    """A side's hot keys, fewer than 1 / ratio: rows (*on, cnt) by falling count, and the side's number of rows.
 
-    Keys of one column become literals, tested in the scan's own stage; sets of several columns, or too
-    large for literals, are broadcast.
+    cnt is null for keys that were given without counts, total is None for given keys.
     """
 
-    LITERALS = 2000
+    on: list[str]
+    rows: list
+    schema: T.StructType
+    total: int | None
+    limit: int = 0
 
-    def __init__(self, found: DataFrame, on: list[str]):
-        self.on, self.rows = on, found.collect()
-        self.frame = found.sparkSession.createDataFrame(self.rows, found.schema)
-        self.values = list({r[on[0]] for r in self.rows}) if len(on) == 1 and len(self.rows) <= self.LITERALS else None
+    LITERALS = 2000
 
     def __bool__(self) -> bool:
         return bool(self.rows)
 
-    def of(self, rows: DataFrame, hot: bool) -> DataFrame:
-        """The rows whose key is in the set, or isn't. Rows with a null key are neither or cold; they join nothing."""
-        if self.values is None:
-            return rows.join(F.broadcast(self.frame.select(*self.on).distinct()), self.on, "left_semi" if hot else "left_anti")
-        inside = F.col(self.on[0]).isin(self.values) if self.values else F.lit(False)
-        return rows.where(inside if hot else ~inside)
+    def keys(self) -> list[tuple]:
+        return [tuple(r[c] for c in self.on) for r in self.rows]
 
-    def marked(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows with a boolean column."""
-        if self.values is None:
-            keys = self.frame.select(*self.on).distinct().withColumn(name, F.lit(True))
-            return rows.join(F.broadcast(keys), self.on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-        return rows.withColumn(name, F.coalesce(F.col(self.on[0]).isin(self.values), F.lit(False)) if self.values else F.lit(False))
+    def names(self) -> list:
+        """The keys in a form that Python can look up; keys that Spark takes as equal may differ here, at a cost."""
+        return [_name(k) for k in self.keys()]
 
+    def frame(self, spark, extra: str = "", values: list[tuple] | None = None) -> DataFrame:
+        """The keys as a table, with more columns of the given types and values."""
+        schema = T.StructType([*(self.schema[c] for c in self.on), *T.StructType.fromDDL(extra).fields] if extra else [self.schema[c] for c in self.on])
+        return spark.createDataFrame([(*k, *v) for k, v in zip(self.keys(), values or [()] * len(self.rows))], schema)
 
-def _few(rows: DataFrame) -> bool:
-    """Counted, not estimated; counting stops beyond the bound."""
-    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    def of(self, side: DataFrame, hot: bool) -> DataFrame:
+        """The rows of a side whose key is in the set, or isn't. Rows with a null key join nothing and may be in neither.
+
+        A few keys of one column become literals, which filter in the scan; others are broadcast.
+        """
+        if not self.rows:
+            return side.limit(0) if hot else side
+        field = self.schema[self.on[0]].dataType
+        if len(self.on) == 1 and len(self.rows) <= self.LITERALS and field in _LITERAL and field == _type(side, self.on[0]):
+            inside = F.col(f"`{self.on[0]}`").isin([k for (k,) in self.keys()])
+            return side.where(inside if hot else ~inside)
+        return side.join(F.broadcast(self.frame(side.sparkSession)), self.on, "left_semi" if hot else "left_anti")
+
+
+def heavy_keys(rows: DataFrame, on: list[str], ratio: float, floor: int) -> Hot:
+    """Keys with more than max(floor, ratio * n) rows, in one job: n is observed on the way to the largest counts."""
+    if not 1 / MAX_KEYS <= ratio <= 1:
+        raise ValueError(f"ratio must be from {1 / MAX_KEYS} to 1")
+    seen = Observation()
+    counts = rows.groupBy(*[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("cnt")).observe(seen, F.sum("cnt").alias("n"), F.count("*").alias("keys"))
+    most = counts.dropna("any", subset=on).orderBy(F.desc("cnt")).limit(math.ceil(1 / ratio)).collect()
+    total = seen.get["n"] or 0
+    limit = max(floor, int(total * ratio))
+    found = [r for r in most if r["cnt"] > limit]
+    log.info("%d hot keys of %s among %d rows, over %d", len(found), seen.get["keys"], total, limit)
+    return Hot(on, found, counts.schema, total, limit)
+
+
+def given_keys(heavy: DataFrame, on: list[str]) -> Hot:
+    """Known hot keys (*on, perhaps cnt), each once."""
+    cnt = F.max("cnt") if "cnt" in heavy.columns else F.lit(None)
+    known = heavy.dropna("any", subset=on).groupBy(*on).agg(cnt.cast("long").alias("cnt")).orderBy(F.desc_nulls_last("cnt"))
+    return Hot(on, known.limit(MAX_KEYS).collect(), known.schema, None)
 
 
-def _salt(rows: DataFrame, n: int) -> Column:
-    """A number below n from a row's contents, so that a row computed again goes the same way."""
-    return F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")
+def both_sides(big: DataFrame, small: DataFrame, on: list[str], ratio: float, floor: int) -> tuple[Hot, Hot]:
+    """Hot keys of both sides, counted at the same time."""
+    with ThreadPoolExecutor(2) as pool:
+        return tuple(pool.map(lambda side: heavy_keys(side, on, ratio, floor), (big, small)))
+
+
+def _salt(rows: DataFrame, n: Column | int) -> Column:
+    """A number below n from a row's contents and its partition.
+
+    A row that is computed again goes the same way, whatever the order of rows; equal rows are
+    spread by where they are.
+    """
+    return F.pmod(_place(rows), n).cast("int")
+
+
+def _place(rows: DataFrame) -> Column:
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*hashable, F.spark_partition_id())
+
+
+def _upto(n: Column | int) -> Column:
+    return F.sequence(F.lit(0), n - 1 if isinstance(n, Column) else F.lit(n - 1))
 
 
 def plain(big: DataFrame, small: DataFrame, on: list[str], method: str = "shuffle_hash") -> DataFrame:
@@ -76,82 +144,211 @@ def plain(big: DataFrame, small: DataFrame, on: list[str], method: str = "shuffl
 
 def spread(big: DataFrame, small: DataFrame, on: list[str], n: int, method: str = "shuffle_hash") -> DataFrame:
     """big over n buckets whatever its keys, small copied to all."""
-    copies = small.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return big.withColumn("_bucket", _salt(big, n)).join(copies.hint(method), [*on, "_bucket"]).drop("_bucket")
+    copies = small.withColumn(_COLUMN, F.explode(_upto(n)))
+    return big.withColumn(_COLUMN, _salt(big, F.lit(n))).join(copies.hint(method), [*on, _COLUMN]).drop(_COLUMN)
 
 
 def crossed(big: DataFrame, small: DataFrame, on: list[str], n: int, method: str = "shuffle_hash") -> DataFrame:
     """Both sides over a grid: a big row in one column and all rows, a small row in one row and all columns."""
     rows, cols = grid(n)
-    down = big.withColumn("_c", _salt(big, cols)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    along = small.withColumn("_r", _salt(small, rows)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    return down.join(along.hint(method), [*on, "_r", "_c"]).drop("_r", "_c")
+    down = big.withColumn(_COLUMN, _salt(big, F.lit(cols))).withColumn(_ROW, F.explode(_upto(rows)))
+    along = small.withColumn(_ROW, _salt(small, F.lit(rows))).withColumn(_COLUMN, F.explode(_upto(cols)))
+    return down.join(along.hint(method), [*on, _ROW, _COLUMN]).drop(_ROW, _COLUMN)
+
 
+def _found(side: DataFrame, on: list[str], table: DataFrame) -> DataFrame:
+    """A side with what a broadcast table says of its keys, in column _ek_cells; null for other keys."""
+    return side.join(F.broadcast(table), on, "left")
 
-def _kept(rows: DataFrame, other: DataFrame, on: list[str], n: int, columns: list[str], method: str = "shuffle_hash") -> DataFrame:
-    """rows stay where they are and meet a broadcast of other, if that is counted as small; else rows are spread."""
-    joined = rows.join(F.broadcast(other), on) if _few(other) else spread(rows, other, on, n, method)
-    return joined.select(*columns)
+
+def celled(big: DataFrame, small: DataFrame, on: list[str], cells: DataFrame, method: str = "shuffle_hash") -> DataFrame:
+    """One join: each key of cells (*on, rows, columns) has a grid of its own, other keys one cell.
+
+    A big row goes to one column and all rows of its key's grid, a small row to one row and all columns.
+    """
+    table = cells.select(*on, F.struct("rows", "columns").alias(_CELLS))
+    r, c = F.coalesce(F.col(_CELLS)["rows"], F.lit(1)), F.coalesce(F.col(_CELLS)["columns"], F.lit(1))
+    sides = []
+    for side, own, other, n_own, n_other in ((big, _COLUMN, _ROW, c, r), (small, _ROW, _COLUMN, r, c)):
+        x = _found(side, on, table).withColumn(own, F.when(n_own > 1, _salt(side, n_own)).otherwise(0))
+        sides.append(x.withColumn(other, F.explode(_upto(n_other))).drop(_CELLS))
+    return sides[0].join(sides[1].hint(method), [*on, _ROW, _COLUMN]).drop(_ROW, _COLUMN)
+
+
+def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
+    """Name -> (key, rows, columns) of a key's grid; keys that need only one cell aren't listed.
+
+    A side's rows of a key are cut into pieces of a partition's share, so the other side's are copied as often as
+    the key's own count asks for. A key that is hot on both sides has about n cells, in the
+    proportion that copies least. A key without a count has n columns.
+    """
+    sides = [dict(zip(h.names(), zip(h.keys(), h.rows))) if h else {} for h in (hot_big, hot_small)]
+    share = [max(1.0, h.total / n) if h and h.total else 1.0 for h in (hot_big, hot_small)]
+    out = {}
+    for name, (key, _) in {**sides[1], **sides[0]}.items():
+        b, s = (x[name][1]["cnt"] if name in x else 0 for x in sides)
+        if b and s:
+            columns = max(1, min(n, round(math.sqrt(n * b / s))))
+            shape = max(1, n // columns), columns
+        elif name in sides[0]:
+            shape = 1, n if b is None else min(n, max(least, math.ceil(b / share[0])))
+        else:
+            shape = min(n, math.ceil(s / share[1])), 1
+        if shape != (1, 1):
+            out[name] = (key, *shape)
+    return out
+
+
+def _cells(spark, hot: Hot, shapes: dict) -> DataFrame:
+    schema = T.StructType([*(hot.schema[c] for c in hot.on), *T.StructType.fromDDL("rows int, columns int").fields])
+    return spark.createDataFrame([(*k, rows, columns) for k, rows, columns in shapes.values()], schema)
+
+
+def _renamed(big: DataFrame, small: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]:
+    """small with names that big doesn't have, but for the keys, and the columns of the result."""
+    same = (lambda x: x) if big.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    keys = {same(c) for c in on}
+    taken, names = {same(c) for c in (*big.columns, *small.columns)}, {}
+    mine = {same(c) for c in big.columns}
+    for c in small.columns:
+        if same(c) in mine and same(c) not in keys:
+            name = f"{c}_small"
+            while same(name) in taken:
+                name += "_"
+            names[c] = name
+            taken.add(same(name))
+    small = small.withColumnsRenamed(names) if names else small
+    return small, [*on, *(c for c in big.columns if same(c) not in keys), *(c for c in small.columns if same(c) not in keys)]
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], strategy: str = "auto", n: int | None = None, heavy: DataFrame | None = None, ratio: float = 0.001, floor: int = 10, tolerance: float = 0.3, method: str = "shuffle_hash") -> DataFrame:
     """The inner join of big and small on equal columns ``on``, with null keys matching nothing.
 
-    ``heavy`` are known hot keys of big (columns on, and cnt for bnr); otherwise they are counted. auto
-    is the plain join without hot keys, else prpd. n is the number of buckets that hot rows are
-    spread over, by default that of shuffle partitions. ``method`` is the hint of the shuffled joins:
-    with merge they sort and spill, where partitions of small don't fit a task's memory.
+    The result has the keys, then big's other columns, then small's; a column of small that big has too
+    is called <name>_small. ``heavy`` are known hot keys of big (columns on, perhaps cnt); otherwise
+    they are counted. auto gives each key that exceeds a partition's share, on either side, a grid of its own, and is the plain
+    join if there is none. n is the number of buckets that hot rows are spread over, by default that
+    of shuffle partitions. ``method`` is the hint of the shuffled joins: with merge they sort and
+    spill, where partitions of small don't fit a task's memory.
     """
     on = _keys(on)
     spark = big.sparkSession
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if strategy == "base":
-        return plain(big, small, on, method)
     if strategy not in (*STRATEGIES, "auto"):
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
-    columns = [*on, *(c for c in big.columns if c not in on), *(c for c in small.columns if c not in on)]
-    found = heavy if heavy is not None else heavy_keys(big, on, ratio, floor)
-    hot = Hot(found, on)  # fewer than 1 / ratio keys
-    if not hot and strategy in ("auto", "prpd", "pnr", "bnr"):
-        return plain(big, small, on, method).select(*columns)
+    small, columns = _renamed(big, small, on)
+    pick = [F.col(f"`{c}`") for c in columns]
+    if strategy == "base":
+        return plain(big, small, on, method).select(*pick)
+    both = strategy == "flow" or strategy == "auto" and heavy is None
+    if heavy is not None:
+        hot, hot_small = given_keys(heavy, on), heavy_keys(small, on, ratio, floor) if both else None
+    else:
+        hot, hot_small = both_sides(big, small, on, ratio, floor) if both else (heavy_keys(big, on, ratio, floor), None)
+    if strategy == "auto" and any(_type(big, c) != _type(small, c) for c in on):
+        hot_small = None  # small's keys needn't be values of big's type
     if strategy == "bnr":
-        return _planned(big, small, on, hot.frame, n, tolerance, ratio, method).select(*columns)
-    if strategy == "pnr":
-        return _salted(big, small, on, hot, n, method).select(*columns)
-    if strategy in ("auto", "prpd"):
-        light = plain(hot.of(big, False), hot.of(small, False), on, method).select(*columns)
-        return light.unionByName(_kept(hot.of(big, True), hot.of(small, True), on, n, columns, method))
-    return _by_class(big, small, on, hot, n, ratio, floor, columns, method)
-
-
-def _salted(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int, method: str) -> DataFrame:
-    """One join: hot big rows by a salt, their small rows copied to each; others have salt 0."""
-    b = hot.marked(big, "_hot").withColumn("_bucket", F.when(F.col("_hot"), _salt(big, n)).otherwise(0)).drop("_hot")
-    s = hot.marked(small, "_hot").withColumn("_bucket", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return b.join(s.hint(method), [*on, "_bucket"]).drop("_bucket")
-
-
-def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame, n: int, tolerance: float, ratio: float, method: str) -> DataFrame:
-    """One join: hot rows by a plan from their counts, small rows to no more buckets than the plan uses for their key."""
-    key = F.concat_ws("\x1f", *on)
-    table = planned(big.sparkSession, hot.select(key.alias("_key"), "cnt"), "_key", n, tolerance, light=max(1, int(1 / ratio)))
-    slots = F.broadcast(table.groupBy("_key").agg(F.first("cnt").alias("_cnt"), F.collect_list(F.struct("lo", "hi", "bucket")).alias("_slots")))
-    at = F.pmod(F.xxhash64(*big.columns), F.col("_cnt"))
-    slot = F.get(F.filter("_slots", lambda x: (x["lo"] <= at) & (at < x["hi"])), F.lit(0))["bucket"]
-    b = big.withColumn("_key", key).join(slots, "_key", "left").withColumn("_bucket", F.coalesce(slot, F.lit(-1))).drop("_key", "_cnt", "_slots")
-    s = small.withColumn("_key", key).join(slots, "_key", "left").withColumn("_bucket", F.explode(F.coalesce(F.transform("_slots", lambda x: x["bucket"]), F.array(F.lit(-1))))).drop("_key", "_cnt", "_slots")
-    return b.join(s.hint(method), [*on, "_bucket"]).drop("_bucket")
-
-
-def _by_class(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, n: int, ratio: float, floor: int, columns: list[str], method: str) -> DataFrame:
-    """Four joins, by the side or sides on which a key is hot; classes without keys have no join."""
-    hot_small = Hot(heavy_keys(small, on, ratio, floor).select(*on), on)
-    split = lambda x, b, s: hot_small.of(hot_big.of(x, b), s)
-    out = plain(split(big, False, False), split(small, False, False), on, method).select(*columns)
-    if hot_big:
-        out = out.unionByName(_kept(split(big, True, False), split(small, True, False), on, n, columns, method))
-    if hot_small:
-        out = out.unionByName(_kept(split(small, False, True), split(big, False, True), on, n, columns, method))
-    if hot_big and hot_small:
-        out = out.unionByName(crossed(split(big, True, True), split(small, True, True), on, n, method).select(*columns))
-    return out
+        out = _planned(big, small, on, hot, n, tolerance, ratio, method)
+    elif strategy in ("auto", "pnr"):
+        shapes = grids(hot, hot_small, n, least=1 if strategy == "auto" else min(2, n))
+        out = celled(big, small, on, _cells(spark, hot, shapes), method) if shapes else plain(big, small, on, method)
+        log.info("%s: %d keys have grids", strategy, len(shapes))
+    else:
+        return _staying(big, small, on, hot, hot_small, n, ratio, pick, method)
+    return out.select(*pick)
+
+
+def configured_join(big: DataFrame, small: DataFrame, on: str, options: Options, sender: str | None = None, order: list[str] | None = None, statistics: DataFrame | None = None, method: str = "shuffle_hash") -> DataFrame:
+    """``skew_join`` as settings say.
+
+    With ``online`` off, hot keys are those that statistics list (columns on, perhaps cnt). With it on
+    and a sender column (a column of big), they are what the senders find: by a sketch with ``capacity``
+    entries row by row in the given order, or without an order by a mergeable sketch; bnr with ``consensus`` takes the keys
+    that all senders found, else any sender's do. Without a sender they are counted exactly. All
+    ways give the same rows.
+    """
+    o, heavy = options, None
+    if not o.online:
+        if statistics is None:
+            raise ValueError("static detection needs statistics")
+        heavy = statistics
+    elif sender is not None:
+        if order:
+            found = detect.ever_flagged(detect.flagged_sketch(big.select(on, sender, *[c for c in order if c not in (on, sender)]), on, sender, order, o.capacity, o.ratio, o.floor), on, sender)
+        else:
+            found = detect.found_by_sketch(big, on, sender, o.ratio, o.floor)
+        agreed = o.consensus and o.strategy == "bnr"
+        keys = detect.consensus(found, on, sender, big.select(sender).distinct().count()) if agreed else detect.union(found, on)
+        heavy = big.join(keys, on, "left_semi").groupBy(on).agg(F.count("*").alias("cnt"))
+    log.info("%s by %s", o.strategy, "counts" if heavy is None else "senders" if o.online else "statistics")
+    return skew_join(big, small, on, o.strategy, o.buckets, heavy, o.ratio, o.floor, o.tolerance, method)
+
+
+def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int, tolerance: float, ratio: float, method: str) -> DataFrame:
+    """One join: hot rows by a plan from their counts, small rows to no more buckets than the plan uses for their key.
+
+    Keys without a count are taken to be as large as the largest with one.
+    """
+    if not hot:
+        return plain(big, small, on, method)
+    most = max((r["cnt"] or 0 for r in hot.rows), default=0) or 1000 * n
+    counts = [r["cnt"] or most for r in hot.rows]
+    slots: list[list] = [[] for _ in counts]
+    for i, bucket, lo, hi in plan(list(enumerate(counts)), n, tolerance, light=max(1, int(1 / ratio))):
+        slots[i].append((lo, hi, bucket))
+    table = hot.frame(big.sparkSession, f"{_CELLS} struct<cnt:long,slots:array<struct<lo:long,hi:long,bucket:int>>>", [((c, x),) for c, x in zip(counts, slots)])
+    at = F.pmod(_place(big), F.col(_CELLS)["cnt"])
+    b = _found(big, on, table).withColumn("_ek_at", at)
+    b = b.withColumn(_COLUMN, F.coalesce(F.get(F.filter(F.col(_CELLS)["slots"], lambda x: (x["lo"] <= F.col("_ek_at")) & (F.col("_ek_at") < x["hi"])), F.lit(0))["bucket"], F.lit(-1))).drop(_CELLS, "_ek_at")
+    to = F.array_distinct(F.transform(F.col(_CELLS)["slots"], lambda x: x["bucket"]))
+    s = _found(small, on, table).withColumn(_COLUMN, F.explode(F.coalesce(to, F.array(F.lit(-1))))).drop(_CELLS)
+    return b.join(s.hint(method), [*on, _COLUMN]).drop(_COLUMN)
+
+
+def _few(rows: DataFrame, keys: int, other: Hot | None) -> bool:
+    """Whether rows of so many keys are few enough to be broadcast.
+
+    If these keys are known not to be hot on their side, the limit of that side bounds them; else they are
+    counted, and counting stops beyond the bound.
+    """
+    if other is not None and keys * other.limit <= BROADCAST_ROWS:
+        return True
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _kept(rows: DataFrame, other: DataFrame, on: list[str], n: int, pick: list, method: str = "shuffle_hash", few: bool | None = None) -> DataFrame:
+    """rows stay where they are and meet a broadcast of other, if that is small; else rows are spread."""
+    small = few if few is not None else _few(other, 0, None)
+    return (rows.join(F.broadcast(other), on) if small else spread(rows, other, on, n, method)).select(*pick)
+
+
+def _staying(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, hot_small: Hot | None, n: int, ratio: float, pick: list, method: str) -> DataFrame:
+    """prpd and flow: rows of keys that are hot on one side stay there, the other side's are broadcast.
+
+    All else is one shuffled join, in which keys hot on both sides have grids (flow). Classes without
+    keys have no join.
+    """
+    if not hot_big and not hot_small:
+        return plain(big, small, on, method).select(*pick)
+    twice = set(hot_big.names()) & set(hot_small.names()) if hot_small else set()
+
+    def only(hot: Hot) -> Hot:
+        return Hot(on, [r for r, k in zip(hot.rows, hot.names()) if k not in twice], hot.schema, hot.total, hot.limit)
+
+    stay_big, stay_small = only(hot_big), only(hot_small) if hot_small else None
+    rest_b, rest_s = (stay_big.of(x, False) for x in (big, small))
+    if stay_small:
+        rest_b, rest_s = (stay_small.of(x, False) for x in (rest_b, rest_s))
+    shapes = {k: v for k, v in grids(hot_big, hot_small, n).items() if k in twice} if twice else {}
+    out = [(celled(rest_b, rest_s, on, _cells(big.sparkSession, hot_big, shapes), method) if shapes else plain(rest_b, rest_s, on, method)).select(*pick)]
+    if stay_big:
+        copied = stay_big.of(small, True)
+        out.append(_kept(stay_big.of(big, True), copied, on, n, pick, method, _few(copied, len(stay_big.rows), hot_small)))
+    if stay_small:
+        # Classes are told apart by Spark's equality on both sides, so no pair is in two of them.
+        own, copied = (stay_small.of(stay_big.of(x, False), True) for x in (small, big))
+        out.append(_kept(own, copied, on, n, pick, method, _few(copied, len(stay_small.rows), hot_big if hot_big.total is not None else None)))
+    result = out[0]
+    for x in out[1:]:
+        result = result.unionByName(x)
+    return result

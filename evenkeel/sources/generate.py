@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +14,18 @@ def table(spark: SparkSession, rows: int, factor: float, keys: int | None = None
     """(seq, sender, key, value): Zipf or uniform keys, dealt to nodes in unequal parts."""
     out = spark.range(rows).select(F.col("id").alias("seq"))
     out = out.withColumn("key", skewed_key(F.col("seq"), keys or rows, factor, seed).cast("string"))
-    return out.withColumn("sender", unequal_node("seq", rows, nodes)).withColumn("value", payload_of("seq", payload)).select("seq", "sender", "key", "value")
+    return out.withColumn("sender", unequal_node("seq", rows, nodes, seed)).withColumn("value", payload_of("seq", payload)).select("seq", "sender", "key", "value")
 
 
-def unequal_node(seq: str, rows: int, nodes: int):
-    """Runs of rows for nodes, each half of what is left, the last node taking the rest."""
-    u = F.col(seq) / F.lit(float(max(1, rows)))
-    node = F.lit(nodes - 1)
+def unequal_node(seq: str, rows: int, nodes: int, seed: int = 0):
+    """Runs of rows for nodes in random lengths of up to half of what is left, the last node taking the rest."""
+    draw, node, end = random.Random(seed), F.lit(nodes - 1), 0
+    ends = []
+    for _ in range(nodes - 1):
+        end += draw.randint(0, (rows - end) // 2)
+        ends.append(end)
     for i in reversed(range(nodes - 1)):
-        node = F.when(u < 1 - 0.5 ** (i + 1), i).otherwise(node)
+        node = F.when(F.col(seq) < ends[i], i).otherwise(node)
     return node.cast("int")
 
 

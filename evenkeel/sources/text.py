@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def pairs(lines: DataFrame, column: str = "value", separator: str = ",") -> Data
     return lines.select(key.alias("key"), value.alias("value"))
 
 
-def read_pairs(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_pairs(spark: SparkSession, path: str | list[str], separator: str = ",") -> DataFrame:
     """A table (key, value) of text files; a path that isn't there raises."""
     return pairs(spark.read.text(path), separator=separator)
 
@@ -36,19 +38,28 @@ def read_two_fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sent_pairs(spark: SparkSession, root: str, name: str, nodes: int) -> DataFrame:
-    """(sender, key, value) of root/<node>/<name>: a table that several nodes hold parts of."""
+    """(sender, key, value) of root/<node>/<name>, a file or a folder: a table that several nodes hold parts of."""
     lines = spark.read.text([f"{root}/{i}/{name}" for i in range(nodes)])
-    sender = F.regexp_extract(F.col("_metadata.file_path"), rf"/(\d+)/{name}$", 1).cast("int")
+    sender = F.regexp_extract(F.col("_metadata.file_path"), rf"/(\d+)/{re.escape(name)}(?:/[^/]*)?$", 1).cast("int")
     key, value = pair(F.col("value"))
     return lines.select(sender.alias("sender"), key.alias("key"), value.alias("value"))
 
 
-def write_sent_pairs(rows: DataFrame, root: str, name: str) -> None:
-    """Writes rows (sender, key, value) as text below root/sender=<n>/<name>."""
-    rows.select("sender", F.concat_ws(",", "key", "value").alias("line")).repartition("sender").write.partitionBy("sender").text(f"{root}/{name}")
+def write_sent_pairs(rows: DataFrame, root: str, name: str, nodes: int) -> None:
+    """Writes rows (sender, key, value) with senders 0 to nodes - 1 as text in folders root/<sender>/<name>, one for each, empty ones too.
+
+    Each write filters one sender's rows, so no sender's rows need meet in one task. A null value is
+    empty text; a null key, a key with a comma or a line feed in either can't be read back and raises.
+    """
+    value = F.coalesce(F.col("value").cast("string"), F.lit(""))
+    key = F.col("key").cast("string")
+    bad = key.isNull() | key.contains(",") | key.contains("\n") | value.contains("\n")
+    line = F.when(bad, F.raise_error(F.concat(F.lit("can't be one line: "), F.coalesce(key, F.lit("null key"))))).otherwise(F.concat(key, F.lit(","), value))
+    for i in range(nodes):
+        rows.where(F.col("sender") == i).select(line.alias("line")).write.text(f"{root}/{i}/{name}")
 
 
-def read_statistics(spark: SparkSession, path: str) -> DataFrame:
+def read_statistics(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Skew statistics (key, count), from lines ``key,count``."""
     return read_pairs(spark, path).select("key", F.col("value").cast("int").alias("count"))
 
