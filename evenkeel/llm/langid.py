@@ -22,8 +22,8 @@ from .common import bounded_batches, extended, unwrapped, wrapped
 
 UND = "und"
 #: Letters are categories L*. \w has numbers besides, of which \d are the decimal digits only.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 WINDOW, PARTS = 2048, 2
 #: Least score of an accepted document, of the query and of the pipeline.
 NARROW = 0.01
@@ -31,7 +31,10 @@ NARROW = 0.01
 
 def normalised(text: str) -> str:
     """Lower case, with each run of what isn't a letter as one space; empty without letters."""
-    return _OTHER.sub(" ", text).strip().lower()
+    text = _OTHER.sub(" ", text)
+    if not text.isascii() and (odd := _NUMBERS.intersection(text)):
+        text = " ".join(text.translate(dict.fromkeys(map(ord, odd), " ")).split())
+    return text.strip().lower()
 
 
 def held_out(doc_id: str = "doc_id"):
