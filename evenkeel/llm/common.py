@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+#: What operators hold or have written, until it is freed.
+_MADE: list[DataFrame] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -40,6 +42,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evenkeel_path = path
+    _MADE.append(out)
+    target, files = _files(out)
+    files.deleteOnExit(target)
     return out
 
 
@@ -64,7 +69,8 @@ def rekeyed(column: Column) -> Column:
 
 def hold(df: DataFrame) -> DataFrame:
     """Keeps ``df`` on the executors' disks for later reads; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    _MADE.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
 
 
 def release(*frames: DataFrame) -> None:
@@ -72,13 +78,35 @@ def release(*frames: DataFrame) -> None:
         df.unpersist()
 
 
+def free(spark: SparkSession, *kept: DataFrame) -> None:
+    """Drops all that operators of this session have held or written, but for kept tables.
+
+    For when results have been written or read, as plans that aren't run yet need what they read. At its
+    end a session deletes what it has written anyway.
+    """
+    keep = {getattr(df, "_evenkeel_path", None) for df in kept}
+    for df in [x for x in _MADE if x.sparkSession is spark]:
+        path = getattr(df, "_evenkeel_path", None)
+        if path is None:
+            df.unpersist()
+        elif path not in keep:
+            discard(df)
+        else:
+            continue
+        _MADE[:] = [x for x in _MADE if x is not df]
+
+
+def _files(df: DataFrame):
+    """A written table's path and file system."""
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._evenkeel_path)
+    return target, target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes a table made by ``materialize`` once nothing will read it again."""
-    path = getattr(df, "_evenkeel_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    if getattr(df, "_evenkeel_path", None):
+        target, files = _files(df)
+        files.delete(target, True)
 
 
 def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
