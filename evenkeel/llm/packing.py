@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, emptying, hold, materialize
+from .common import bounded_batches, emptying, hold, materialize, ranked
 
 EOD = 2
 
@@ -121,7 +121,9 @@ class Encoder:
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Number of ids of each text, with EOD behind; and the ids, as little-endian bytes."""
-        texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        # Lower-casing first makes fewer distinct chunks. Special tokens are told by their case, so texts that may have one keep theirs.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         # These four are white space to Arrow, but not to the tokenizer; chunks may hold any other.
         odd = pc.any(pc.match_substring_regex(texts, "[\\x1c-\\x1f]")).as_py()
         parts = pc.split_pattern(texts, " ") if odd else pc.utf8_split_whitespace(texts)
@@ -237,19 +239,13 @@ def plan(histogram: dict[int, int], classes: int) -> list[tuple[int, int, int, i
     return out
 
 
-def _ranked(pieces: DataFrame, by: Sequence[str], value, buckets: int) -> DataFrame:
-    """pieces with before: the sum of value over the pieces ahead in their group of columns by.
+#: Rows in a bucket of a ranking, about.
+BUCKET = 1024
 
-    Groups may be of any size: they are split by a hash of row into buckets, sums of buckets are
-    added up, then rows within their bucket.
-    """
-    p = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets))).withColumn("value", value)
-    sums = p.groupBy(*by, "bucket").agg(F.sum("value").alias("sum"))
-    ahead = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))
-    inner = Window.partitionBy(*by, "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    p = p.withColumn("inside", F.coalesce(F.sum("value").over(inner), F.lit(0)))
-    return p.join(sums, [*by, "bucket"]).withColumn("before", F.col("ahead") + F.col("inside")).drop("bucket", "value", "sum", "ahead", "inside")
+
+def _ranked(pieces: DataFrame, by: Sequence[str], value, buckets: int) -> DataFrame:
+    """pieces with before: the sum of value over the pieces ahead in their group of columns by, ordered by a hash of row."""
+    return ranked(pieces, by, ["row"], value, F.pmod(F.xxhash64("row"), F.lit(buckets)))
 
 
 def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
@@ -259,8 +255,8 @@ def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
         raise ValueError("unit must divide window")
     full = F.floor(F.col("doc_tokens") / window)
     n_full, n_rows = lengths.agg(F.coalesce(F.sum(full), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-n_rows // 4096))
-    long = _ranked(lengths.where(full > 0).select("row", F.lit(0).alias("all"), full.alias("n")), ["all"], F.col("n"), buckets)
+    buckets = max(1, -(-n_rows // BUCKET))
+    long = _ranked(lengths.where(full > 0).select("row", full.alias("n")), [], F.col("n"), buckets)
     alone = long.select("row", "before", F.posexplode(F.array_repeat(F.lit(window).cast("long"), F.col("n").cast("int"))).alias("i", "length"))
     alone = alone.select("row", (F.col("i") * F.lit(window).cast("long")).alias("start"), "length", (F.col("before") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
@@ -279,7 +275,7 @@ def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
     planned = spot.where("sequence is not null").select("row", "start", "length", (F.col("sequence") + n_full).alias("sequence_id"), offset.alias("offset"))
 
     # What no combination takes is one stream, cut wherever a window ends.
-    stream = _ranked(spot.where("sequence is null").select("row", "start", "length", F.lit(0).alias("all")), ["all"], F.col("length"), buckets)
+    stream = _ranked(spot.where("sequence is null").select("row", "start", "length"), [], F.col("length"), buckets)
     end = F.col("before") + F.col("length")
     cut = stream.withColumn("at", F.explode(F.sequence(F.floor(F.col("before") / window), F.floor((end - 1) / window))))
     lo, hi = F.greatest("before", F.col("at") * window), F.least(end, (F.col("at") + 1) * window)

@@ -23,7 +23,7 @@ def brute_ids(text):
     return [*tokenizer().encode(text or "", add_special_tokens=False).ids, packing.EOD]
 
 
-ODD = ["", None, "a", "   x　y", "naıve École é ́x ΣΣ", "a\x1cb \x1d\x1e\x1f c", "x<|endoftext|>y <|startoftext|>", "it's we'll 12 !!?", "中文 한글\r\n\t tab\x0bv\x85w z", "\U0001f600a‍b", "★ x★y ★ <|x ♥ • … →", "İstanbul ΟΔΟΣ ÀÉ", "z" * 500, "a, b., c!? d' 's e's. f_ ,g 1, 2. é, e\u0301, \u0301."]
+ODD = ["", None, "a", "   x　y", "naıve École é ́x ΣΣ", "a\x1cb \x1d\x1e\x1f c", "x<|endoftext|>y <|startoftext|>", "X<|ENDOFTEXT|>Y <|EndOfText|> <|StartOfText|><|startoftext|>", "A <| B\u00c9 <|endoftext|>C", "it's we'll 12 !!?", "中文 한글\r\n\t tab\x0bv\x85w z", "\U0001f600a‍b", "★ x★y ★ <|x ♥ • … →", "İstanbul ΟΔΟΣ ÀÉ", "z" * 500, "a, b., c!? d' 's e's. f_ ,g 1, 2. é, e\u0301, \u0301."]
 
 
 def test_chunks_equal_whole_texts(spark, sf):
