@@ -3,9 +3,9 @@
 Legal conversations are: an optional system turn first, then user and assistant turns by turns,
 ending with an assistant turn. A dynamic programme over this automaton chooses for each turn to keep
 its role, to relabel it, or to merge it into the message before, and where to insert empty messages;
-the repaired sequence is then rendered.
+the repaired sequence is then rendered, with the markers that texts may hold escaped.
 
-A conversation is cut into parts by turn number. Parts of a conversation that has several first give
+A conversation is cut into parts by turn number, and where many rows share turn numbers, by their rank. Parts of a conversation that has several first give
 their 4 x 4 matrix of least costs between states, from roles alone; the matrices are chained to fix
 the states at part ends, and then every part is repaired and rendered on its own.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, hold, ranked, rekeyed
 
 ROLES = ("", "system", "user", "assistant")  # by state; state 0 is the start
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -109,6 +109,24 @@ def repair(roles: list[str | None], start: int = START, end: int | None = None)
     return cost, state, moves[::-1]
 
 
+def escaped(text: str | None) -> str:
+    """A text without markers: each ``<|`` in it is written ``<||``, which no marker begins with. Null is empty."""
+    return (text or "").replace("<|", "<||")
+
+
+def unescaped(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
+def parsed(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the messages of a rendered conversation; merged texts are one, with an empty line between."""
+    out = []
+    for part in rendered.split("<|end|>\n")[:-1]:
+        role, _, text = part.removeprefix("<|").partition("|>\n")
+        out.append((role, unescaped(text)))
+    return out
+
+
 def render(turns: list[tuple], moves: list[tuple], opened: bool, last: bool, state: int) -> tuple[str, int]:
     """(text, messages) of the turns (role, text). opened: a message from the part before is still open."""
     out, messages = [], 0
@@ -125,7 +143,7 @@ def render(turns: list[tuple], moves: list[tuple], opened: bool, last: bool, sta
             out.append("\n\n")
         else:
             open_(t)
-        out.append(text or "")
+        out.append(escaped(text))
     if last:
         for role in ending(state):
             open_(role)
@@ -135,8 +153,8 @@ def render(turns: list[tuple], moves: list[tuple], opened: bool, last: bool, sta
 
 def _matrices(batches):
     for b in batches:
-        m = [[c if c < _INF else -1.0 for s in range(4) for c in costs([x["role"] for x in turns], s)] for turns in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m, pa.list_(pa.float64()))], ["conv_id", "seg", "m"])
+        m = [[c if c < _INF else -1.0 for s in range(4) for c in costs([x["role"] for x in turns for _ in range(x["n"])], s)] for turns in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(m, pa.list_(pa.float64()))], ["conv_id", "seg", "sub", "m"])
 
 
 def chain(matrices: list[list[float]]) -> list[tuple[int, int]]:
@@ -160,9 +178,9 @@ def chain(matrices: list[list[float]]) -> list[tuple[int, int]]:
 
 def _chained(batches):
     for b in batches:
-        rows = [(conv, x["seg"], *ends, i, i == len(parts) - 1) for conv, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (x, ends) in enumerate(zip(parts, chain([p["m"] for p in parts])))]
-        types = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], ["c", "s", "before", "after", "part", "last"])
+        rows = [(conv, x["seg"], x["sub"], *ends, i, i == len(parts) - 1) for conv, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (x, ends) in enumerate(zip(parts, chain([p["m"] for p in parts])))]
+        types = [b.schema.field(0).type, *[pa.int64()] * 5, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], ["c", "s", "ss", "before", "after", "part", "last"])
 
 
 _OUT = "part long, n_turns long, n_messages long, merges long, relabels long, insertions long, cost long, rendered string"
@@ -173,7 +191,7 @@ def _repaired(batches):
     for b in batches:
         rows = []
         for turns, before, after, part, last in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
-            turns = [(x["role"], x["text"]) for x in turns]
+            turns = [(x["role"], x["text"]) for x in turns for _ in range(x["n"])]
             alone = last is None
             cost, state, moves = repair([r for r, _ in turns], before or START, None if alone else after)
             if last:
@@ -186,24 +204,49 @@ def _repaired(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types))], ["conv_id", *names])
 
 
+def _cut(turns: DataFrame, part: int) -> DataFrame:
+    """(conv_id, seg, sub, turn, h, i, role, text, n): n equal turns a row, in parts (seg, sub) of twice ``part`` turns or so.
+
+    seg is a range of turn numbers. Where its rows are many more than its numbers, equal turns are
+    counted together, at most ``part`` in a row, and sub numbers ranges of their rank by (turn, h), h
+    being a hash of role and text.
+    """
+    lost = F.lit(1 << 40)
+    cut = turns.select("conv_id", F.when(F.col("turn").isNull(), lost).otherwise(F.floor(F.col("turn") / part)).cast("long").alias("seg"), F.coalesce(F.col("turn"), F.lit(0)).cast("long").alias("turn"), F.xxhash64("role", "text").alias("h"), "role", "text")
+    many = hold(cut.groupBy("conv_id", "seg").count().where(F.col("count") > 4 * part).select(F.col("conv_id").alias("c"), rekeyed(F.col("seg")).alias("s")))
+    single = lambda x: x.select("conv_id", "seg", F.lit(0).cast("long").alias("sub"), "turn", "h", F.lit(0).cast("long").alias("i"), "role", "text", F.lit(1).cast("long").alias("n"))
+    if many.isEmpty():
+        return single(cut)
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s"))
+    like = cut.join(many, same, "left_semi").groupBy("conv_id", "seg", "turn", "h", "role", "text").agg(F.count("*").alias("copies"))
+    pieces = like.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / part))))
+    pieces = pieces.withColumn("n", F.least(F.lit(part).cast("long"), F.col("copies") - F.col("i") * part)).drop("copies")
+    # Buckets rise with turn and h, which is signed.
+    bucket = F.when(F.col("seg") == lost, 0).otherwise(F.col("turn") - F.col("seg") * part) * 65536 + F.shiftright("h", 48) + 32768
+    placed = ranked(pieces, ["conv_id", "seg"], ["turn", "h", "role", "text", "i"], F.col("n"), bucket)
+    placed = placed.select("conv_id", "seg", F.floor(F.col("before") / part).alias("sub"), "turn", "h", "i", "role", "text", "n")
+    return single(cut.join(many, same, "left_anti")).unionByName(placed)
+
+
 def repaired(turns: DataFrame, part: int = PART) -> DataFrame:
     """(conv_id, part, n_turns, n_messages, merges, relabels, insertions, cost, rendered).
 
-    One row for each conversation; one that goes over ``part`` turn numbers has one for each such
-    range, whose texts joined in order of part are its rendering. turns needs conv_id, turn, role
-    and text. Turns are ordered by (turn, role, text); rows without a turn number come last, in parts
-    by a hash. Unknown and null roles are named at a price, null texts are empty, repeated rows are
-    turns of their own, a null conv_id is a conversation, an empty table gives no rows.
+    One row for each conversation; one that goes over ``part`` turn numbers, or has many more turns than numbers, has
+    one for each part, whose texts joined in order of part are its rendering. turns needs conv_id,
+    turn, role and text. Turns are ordered by turn, then by a hash of role and text; rows without a turn number come last.
+    Unknown and null roles are named at a price, null texts are empty, repeated rows are turns of
+    their own, a null conv_id is a conversation, an empty table gives no rows. Markers in texts are
+    escaped (see ``escaped``), so a rendering has only the messages that it was given.
     """
     bounded_batches(turns.sparkSession)
-    lost = F.lit(1 << 40) + F.shiftrightunsigned(F.xxhash64("role", "text"), 52)
-    cut = turns.select("conv_id", F.when(F.col("turn").isNull(), lost).otherwise(F.floor(F.col("turn") / part)).cast("long").alias("seg"), F.coalesce(F.col("turn"), F.lit(0)).cast("long").alias("turn"), "role", "text")
-    slim = cut.groupBy("conv_id", "seg").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    spans = cut.groupBy("conv_id").agg(F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("lo < hi").select(F.col("conv_id").alias("c"))
+    cut = _cut(turns, part)
+    slim = cut.groupBy("conv_id", "seg", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "h", "i", "role", "n"))).alias("turns"))
+    place = F.struct("seg", "sub")
+    spans = cut.groupBy("conv_id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(F.col("conv_id").alias("c"))
     several = slim.join(spans, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
     key = turns.select("conv_id").schema[0].dataType.simpleString()
-    matrices = several.mapInArrow(_matrices, f"conv_id {key}, seg long, m array<double>")
-    ends = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seg", "m"))).alias("parts")).mapInArrow(_chained, f"c {key}, s long, before long, after long, part long, last boolean")
-    parts = cut.groupBy("conv_id", "seg").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    known = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s")), "left").select("conv_id", "turns", "before", "after", "part", "last")
+    matrices = several.mapInArrow(_matrices, f"conv_id {key}, seg long, sub long, m array<double>")
+    ends = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seg", "sub", "m"))).alias("parts")).mapInArrow(_chained, f"c {key}, s long, ss long, before long, after long, part long, last boolean")
+    parts = cut.groupBy("conv_id", "seg", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "h", "i", "role", "text", "n"))).alias("turns"))
+    known = parts.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") == F.col("s")) & (F.col("sub") == F.col("ss")), "left").select("conv_id", "turns", "before", "after", "part", "last")
     return known.mapInArrow(_repaired, f"conv_id {key}, {_OUT}")
