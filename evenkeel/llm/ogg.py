@@ -2,8 +2,9 @@
 
 The writer stores a payload as 8-bit samples, one sample a byte, at a fixed rate, in packets dealt
 to several logical streams whose pages are multiplexed. The reader verifies each page's checksum,
-splits pages by their lacing values, joins packets that go over page ends, demultiplexes by serial
-number, and gives each packet its end time from its page's granule position.
+splits pages by their lacing values, joins packets that go over page ends, and demultiplexes by serial
+number. A page's granule position is the end of the last packet that ends on it; the ends of those before
+follow backwards from the packets' durations and the turns that the other streams take between them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ _HEAD = struct.Struct("<4sBBqIIIB")
 _CONTINUED, _FIRST, _LAST = 1, 2, 4
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _MAGIC = b"RAW8"
+_INTRO = struct.Struct("<4sHHII")  # magic, number of the stream, streams, samples a second, samples of a full packet
 
 
 def checksum(page: bytes) -> int:
@@ -80,7 +82,7 @@ def write(payload: bytes, streams: int = STREAMS, packet: int = PACKET, rate: in
     """An Ogg file of the payload's samples; packet i goes to stream i mod streams."""
     logical = []
     for s in range(streams):
-        head = struct.pack("<4sHHI", _MAGIC, s, streams, rate)
+        head = _INTRO.pack(_MAGIC, s, streams, rate, packet)
         data = [(min(len(payload), at + packet), payload[at : at + packet]) for at in range(s * packet, len(payload), packet * streams)]
         logical.append([(g, n, s, page) for g, n, page in _stream(s + 1, [(0, head), *data])])
     # All first pages come first, then pages by time.
@@ -94,7 +96,7 @@ def read(media: bytes) -> dict[int, dict]:
 
     Raises ValueError for a wrong capture pattern, version or checksum, a page out of order, a cut
     page or packet, or a stream without end. A packet that ends on a page, but isn't the last to do
-    so, has no granule position of its own: None.
+    so, has no granule position of its own: None; ``times`` derives it.
     """
     view, at, out = memoryview(media), 0, {}
     while at < len(media):
@@ -134,18 +136,44 @@ def read(media: bytes) -> dict[int, dict]:
     return out
 
 
+def times(streams: dict[int, dict]) -> dict[int, list[tuple[int, int]]]:
+    """Serial -> (first sample, end) of each data packet, from granule positions and durations.
+
+    A packet's samples are its bytes; a full packet of each other stream lies between two of a stream. The first packet of a
+    stream, its header, has no time. Raises ValueError where positions contradict each other.
+    """
+    out = {}
+    for serial, s in streams.items():
+        _, number, n, _, size = _INTRO.unpack(s["packets"][0][1])
+        end, spans = None, []
+        for granule, data in reversed(s["packets"][1:]):
+            if granule is not None:
+                if end is not None and end != granule:
+                    raise ValueError("granule positions don't fit the samples")
+                end = granule
+            if end is None:
+                raise ValueError("last packet without granule position")
+            spans.append((end - len(data), end))
+            end -= len(data) + (n - 1) * size
+        if spans and spans[-1][0] != number * size:
+            raise ValueError("granule positions don't fit the samples")
+        out[serial] = spans[::-1]
+    return out
+
+
 def payload_of(streams: dict[int, dict]) -> tuple[bytes, float]:
-    """The samples of a file by ``write``, and their time in seconds from the last granule positions."""
-    heads = {serial: struct.unpack("<4sHHI", s["packets"][0][1]) for serial, s in streams.items()}
+    """The samples of a file by ``write``, put together by their times, and how many seconds they take."""
+    heads = {serial: _INTRO.unpack(s["packets"][0][1]) for serial, s in streams.items()}
     if any(h[0] != _MAGIC for h in heads.values()):
         raise ValueError("unknown stream")
-    lanes = [[p for _, p in streams[serial]["packets"][1:]] for serial, h in sorted(heads.items(), key=lambda x: x[1][1])]
-    packets = [lane[i] for i in range(max(map(len, lanes), default=0)) for lane in lanes if i < len(lane)]
-    last = max((g for s in streams.values() for g, _ in s["packets"] if g is not None), default=0)
-    samples = b"".join(packets)
-    if last != len(samples):
-        raise ValueError("granule positions don't fit the samples")
-    return samples, last / max(h[3] for h in heads.values())
+    spans = times(streams)
+    placed = sorted((span, data) for serial, s in streams.items() for span, (_, data) in zip(spans[serial], s["packets"][1:]))
+    at = 0
+    for (start, end), _ in placed:
+        if start != at:
+            raise ValueError("samples are missing or twice there")
+        at = end
+    return b"".join(data for _, data in placed), at / max(h[3] for h in heads.values())
 
 
 def padded(data: bytes) -> bytes:
@@ -166,7 +194,8 @@ def _digested(batches):
             streams = read(media)
             samples, seconds = payload_of(streams)
             mean = np.frombuffer(samples, np.uint8).mean()
-            feature = f"streams={len(streams)};pages={sum(s['pages'] for s in streams.values())};packets={sum(len(s['packets']) for s in streams.values())};mean={mean:.6f};ms={round(seconds * 1000)}"
+            ends = np.array(sorted(end for spans in times(streams).values() for _, end in spans), "<u8")
+            feature = f"streams={len(streams)};pages={sum(s['pages'] for s in streams.values())};packets={sum(len(s['packets']) for s in streams.values())};mean={mean:.6f};ms={round(seconds * 1000)};times={zlib.crc32(ends):08x}"
             rows.append((doc_id, len(text or b""), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, seconds))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
