@@ -28,13 +28,32 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host, or all of a shorter one."""
-    return F.substring_index(host, ".", -2)
+# Some public suffixes of two labels, under which names are registered by different parties.
+SUFFIXES = (
+    "ac.in ac.jp ac.nz ac.uk ac.za asn.au co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co "
+    "com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pk com.sa com.sg com.tr com.tw com.ua com.uy com.ve com.vn edu.au edu.br edu.cn "
+    "edu.in edu.mx edu.tw firm.in gen.in go.jp go.kr gob.mx gov.au gov.br gov.cn gov.in gov.uk gov.za gr.jp id.au ind.in ltd.uk me.uk "
+    "ne.jp net.au net.br net.cn net.in net.nz net.uk net.za nhs.uk or.jp or.kr org.au org.br org.cn org.in org.mx org.nz org.tw org.uk org.za "
+    "plc.uk police.uk sch.uk web.za"
+).split()
+ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def suffix(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: the last two labels if they are listed, else the last; ``address`` for IP addresses."""
+    name, two = name_of(host), F.substring_index(name_of(host), ".", -2)
+    return F.when(name.rlike(ADDRESS), "address").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix and one label before it, or all of a shorter name; an IP address is its own."""
+    name, two = name_of(host), F.substring_index(name_of(host), ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -83,7 +102,7 @@ def strength(g: Column, m: Column, k: Column, gg: Column, mm: Column) -> Column:
     return (1 - bounded) / bounded
 
 
-def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputations(outcomes: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(host, n, good, rate, low, high) for each host of rows (host, good int 0/1 or null): posterior mean and bounds.
 
     A null good says that the host is there, without an outcome. Hosts are pre-aggregated, so one
@@ -93,17 +112,17 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     domains, or else that of all suffixes. No outcomes at all give no rows.
     """
     seen = outcomes.where("host <> ''").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"))
-    seen = seen.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host"))})
+    seen = seen.withColumns({"domain": registered_domain(F.col("host"), suffixes), "suffix": suffix(F.col("host"), suffixes)})
     hosts = seen.where("n > 0")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
     # The root's sums are over one row a suffix; then suffixes, their domains, and the domains' hosts.
-    root = suffixes.agg(*[(F.round(F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")), 6) if name == "gg" else c).alias(name) for name, c in _moments().items()])
+    root = tops.agg(*[(F.round(F.sum(F.col("good").cast("double") * F.col("good") / F.col("n")), 6) if name == "gg" else c).alias(name) for name, c in _moments().items()])
     root = root.select((F.col("g") / F.col("m")).alias("rate"), strength(*[F.col(c) for c in ("g", "m", "k", "gg", "mm")]).alias("s"))
     mid = _prior(domains, "suffix").withColumnsRenamed({"g": "g_s", "m": "n_s", "s": "s_suffix"}).crossJoin(F.broadcast(root))
     mid = mid.select("suffix", "s_suffix", ((F.col("g_s") + F.col("s") * F.col("rate")) / (F.col("n_s") + F.col("s"))).alias("rate_s"))
-    low = _prior(hosts, "domain").withColumnsRenamed({"s": "s_domain"}).withColumn("suffix", suffix(F.col("domain"))).join(mid, "suffix")
+    low = _prior(hosts, "domain").withColumnsRenamed({"s": "s_domain"}).withColumn("suffix", suffix(F.col("domain"), suffixes)).join(mid, "suffix")
     low = low.withColumn("rate_d", (F.col("g") + F.col("s_suffix") * F.col("rate_s")) / (F.col("m") + F.col("s_suffix")))
     all_ = seen.join(low.select("domain", "rate_d", "s_domain"), "domain", "left").join(mid, "suffix", "left").crossJoin(F.broadcast(root)).where("rate is not null")
     rate, s = F.coalesce("rate_d", "rate_s", "rate"), F.coalesce("s_domain", "s_suffix", "s")
@@ -114,20 +133,20 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     return all_.select("host", "n", "good", mean.alias("rate"), F.greatest(F.lit(0.0), mean - z * sd).alias("low"), F.least(F.lit(1.0), mean + z * sd).alias("high"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url).
 
     outcomes are rows (page_id, good 0/1); a page they name several times counts as each says. A
     page's verdict is its longest rule's, else block if the posterior's upper bound for its host is
     below limit, else allow; a host without outcomes has the posterior of its domain, suffix or all
-    pages. An empty host is allowed, and every host if there is no outcome at all. A null page_id or
+    pages. Registered domains are those below the listed public suffixes. An empty host is allowed, and every host if there is no outcome at all. A null page_id or
     url gives a row as well; an empty table gives none.
     """
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select(F.col("page_id").alias("p"), F.col("good").cast("int").alias("good"))
     labelled = named.join(known, F.col("page_id") == F.col("p")).select("host", "good")
     everyone = labelled.union(named.select("host", F.lit(None).cast("int")))
-    blocked = reputations(everyone, z).where(F.col("high") < limit).select(F.concat("host", F.lit("")).alias("h"), F.lit(True).alias("blocked"))
+    blocked = reputations(everyone, z, suffixes).where(F.col("high") < limit).select(F.concat("host", F.lit("")).alias("h"), F.lit(True).alias("blocked"))
     out = named.join(blocked, F.col("host") == F.col("h"), "left").withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .hosts import LOWER, RULES, UPPER
+from .hosts import ADDRESS, LOWER, RULES, SUFFIXES, UPPER
 
 _COMPONENTS = """
 ends AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
@@ -41,13 +41,18 @@ def op6(limit: float = 0.5, z: float = 1.645) -> str:
     return f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 known AS (SELECT p.host, CAST(coalesce(quality, 0) = 1 AND coalesce(toxic, 1) = 0 AS BIGINT) AS good FROM p JOIN labels ON labels.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})', 1) AS BIGINT) WHERE host <> ''),
-hosts AS (SELECT host, array_to_string(split(host, '.')[-2:], '.') AS domain, split(host, '.')[-1] AS suffix, count(*) AS n, sum(good) AS good FROM known GROUP BY ALL),
+names AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM p WHERE host <> '')),
+seen AS (SELECT host, CASE WHEN address THEN name WHEN listed THEN array_to_string(split(name, '.')[-3:], '.') ELSE two END AS domain, CASE WHEN address THEN 'address' WHEN listed THEN two ELSE split(name, '.')[-1] END AS suffix
+  FROM (SELECT *, regexp_matches(name, '{ADDRESS}') AS address, two IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) AS listed FROM (SELECT *, array_to_string(split(name, '.')[-2:], '.') AS two FROM names))),
+hosts AS (SELECT host, domain, suffix, count(*) AS n, sum(good) AS good FROM known JOIN seen USING (host) GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 0 AS one, sum(n) AS n, sum(good) AS good FROM domains GROUP BY suffix),
 {level("root", "suffixes", "one")}, {level("mid", "domains", "suffix")}, {level("low", "hosts", "domain")},
 mid_rate AS (SELECT suffix, mid.s, (mid.g + root.s * (root.g / root.m)) / (mid.m + root.s) AS rate FROM mid JOIN root ON true),
-low_rate AS (SELECT domain, low.s, (low.g + mid_rate.s * mid_rate.rate) / (low.m + mid_rate.s) AS rate FROM low JOIN mid_rate ON mid_rate.suffix = split(domain, '.')[-1]),
-post AS (SELECT host, (good + s * rate) / (n + s) AS mean, n + s AS total FROM hosts JOIN low_rate USING (domain)),
+low_rate AS (SELECT domain, low.s, (low.g + mid_rate.s * mid_rate.rate) / (low.m + mid_rate.s) AS rate FROM low JOIN (SELECT DISTINCT domain, suffix FROM seen) USING (domain) JOIN mid_rate USING (suffix)),
+prior AS (SELECT host, coalesce(hosts.n, 0) AS n, coalesce(hosts.good, 0) AS good, coalesce(low_rate.rate, mid_rate.rate, root.g / root.m) AS rate, coalesce(low_rate.s, mid_rate.s, root.s) AS s
+  FROM seen JOIN root ON root.m > 0 LEFT JOIN hosts USING (host) LEFT JOIN low_rate ON low_rate.domain = seen.domain LEFT JOIN mid_rate ON mid_rate.suffix = seen.suffix),
+post AS (SELECT host, (good + s * rate) / (n + s) AS mean, n + s AS total FROM prior),
 blocked AS (SELECT host FROM post WHERE least(1.0, mean + {z} * sqrt(mean * (1 - mean) / (total + 1))) < {limit}),
 rules(rule_host, rule_path, verdict, rule) AS (VALUES {rules}),
 fits AS (SELECT DISTINCT ON (host, path) host, path, rule, verdict FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) ORDER BY host, path, len(rule) DESC)
