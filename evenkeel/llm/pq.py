@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most.
 SAMPLE = 16384
+#: Vector lengths that have quantisers, at most.
+DIMS = 64
 BLOCK = 2048
 SUBSPACES = 8
 CODES = 64
@@ -40,22 +43,21 @@ MAX_LISTS = 4096
 def _unit(batches):
     """Valid vectors as doubles: (vec_id, label, dim, digest, v)."""
     for b in batches:
-        keep, dims, digests, data = [], [], [], []
-        labels = b.column(1).to_pylist()
-        for i, x in enumerate(b.column(2).to_pylist()):
-            if not x or labels[i] is None or any(y is None for y in x):
-                continue
-            v = np.asarray(x, np.float64)
-            top = np.abs(v).max()
-            if not np.isfinite(v).all() or top == 0:
-                continue
-            v /= top  # so that squares neither overflow nor vanish
-            keep.append(i)
-            dims.append(len(v))
-            data.append((v / np.sqrt(v @ v)).tobytes())
-            digests.append(xxhash.xxh3_128_digest(np.asarray(x, np.float64).tobytes()))
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).cast(pa.string()).take(at), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "dim", "digest", "v"])
+        lists = b.column(2)
+        dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # those of null lists aren't there, nulls are NaN
+        first = np.cumsum(dims) - dims
+        labelled = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims[(dims > 0) & labelled]).tolist():
+            at = np.nonzero((dims == dim) & labelled)[0]
+            x = values[first[at][:, None] + np.arange(dim)]
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
+            at, x = at[ok], x[ok]
+            v = x / np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
+            v /= np.sqrt((v * v).sum(1))[:, None]
+            digests, data = ([row.tobytes() for row in y] for y in (x, v))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).cast(pa.string()).take(take), pa.array([dim] * len(at), pa.int32()), pa.array(map(xxhash.xxh3_128_digest, digests), pa.binary()), pa.array(data, pa.binary())], ["vec_id", "label", "dim", "digest", "v"])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -185,6 +187,27 @@ def _join(parent: dict, y, z, ids) -> None:
             parent[j] = i
 
 
+def _fitted(nodes: DataFrame, block: int) -> dict[int, Model]:
+    """Length -> model, of a sample by hash that shares SAMPLE among the DIMS commonest lengths, but for chance.
+
+    Vectors of other lengths have no model: they are all compared with one another, in blocks.
+    """
+    counts = nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n"), F.sum("count").alias("total"))
+    sizes = counts.orderBy(F.desc("total"), "dim").limit(DIMS).collect()
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], min(1.0, SAMPLE / len(sizes) / r["total"]))])
+    u = F.shiftrightunsigned(F.xxhash64("digest"), 12) / float(1 << 52)
+    sample: dict[int, list] = {r["dim"]: [] for r in sizes}
+    for r in nodes.where(u < F.element_at(share, F.col("dim"))).select("dim", "digest", "v").collect():
+        sample[r["dim"]].append((r["digest"], r["v"]))
+    out = {}
+    for r in sizes:
+        if x := [v for _, v in sorted(sample[r["dim"]])]:
+            out[r["dim"]] = Model(np.frombuffer(b"".join(x)).reshape(len(x), r["dim"]), min(MAX_LISTS, -(-r["n"] // block)))
+    return out
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
@@ -200,13 +223,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, block: int = BLOCK) -
     base = vectors.select("vec_id", "label", "embedding")
     valid = hold(base.where("vec_id is not null").mapInArrow(_unit, "vec_id long, label string, dim int, digest binary, v binary"))
     nodes = hold(valid.groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w"), F.min("v").alias("v")))
-    sizes = nodes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("n")).collect()
-    sample = nodes.select("dim", "v", F.xxhash64("digest").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    models = {}
-    for r in sizes:
-        x = [s["v"] for s in sample if s["dim"] == r["dim"]]
-        if x:
-            models[r["dim"]] = Model(np.frombuffer(b"".join(x)).reshape(len(x), r["dim"]), min(MAX_LISTS, -(-r["n"] // block)))
+    models = _fitted(nodes, block)
     shared = spark.sparkContext.broadcast(models)  # bounded by MAX_LISTS and CODES
 
     sent = hold(nodes.select("vec_id", "label", "dim", "w", "v").mapInArrow(lambda it: _sent(it, shared.value, cosine), "vec_id long, label string, dim int, w long, v binary, own int, other int"))

@@ -60,3 +60,34 @@ def test_empty_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([(None, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 5), (1, [1.0, 0.0], 1, 5), (2, [0.0, 1.0], 1, 5)], SCHEMA + ", n_links int")
     out = sorted((tuple(r) for r in near_vectors(rows, 0.93).collect()), key=str)
     assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)]
+
+
+def test_lengths_share_the_sample(spark, monkeypatch):
+    """A rare length has a model beside a common one; lengths beyond the limit have none, and lose no link."""
+    from evenkeel.llm import pq
+    from evenkeel.llm.common import hold
+
+    rng = np.random.RandomState(9)
+    rows = [(i, [float(v) for v in rng.randn(8)], 1) for i in range(400)] + [(1000 + i, [float(v) for v in rng.randn(5)], 1) for i in range(20)] + [(2000 + i, [1.0, float(i)], 1) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(pq, "SAMPLE", 100)
+    nodes = hold(df.select("vec_id", "label", "embedding").mapInArrow(pq._unit, "vec_id long, label string, dim int, digest binary, v binary"))
+    assert sorted(pq._fitted(nodes, 2048)) == [2, 5, 8]
+    monkeypatch.setattr(pq, "DIMS", 2)
+    assert sorted(pq._fitted(nodes, 2048)) == [5, 8]
+    out = near_vectors(df, 0.93, 16).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == brute(rows, 0.93)
+
+
+def test_units():
+    import pyarrow as pa
+
+    from evenkeel.llm.pq import _unit
+
+    nan = float("nan")
+    vectors = [None, [3.0, 4.0], [], [0.0, 0.0], [1.0, None], [1.0, nan], [1e-300, 0.0], [1e300, 1e300, 0.0], [1.0]]
+    b = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([1] * 8 + [None]), pa.array(vectors, pa.list_(pa.float64()))], ["vec_id", "label", "embedding"])
+    for batch, shift in ((b, 0), (b.slice(1), 1)):
+        got = {r["vec_id"]: np.frombuffer(r["v"]).tolist() for out in _unit([batch]) for r in out.to_pylist()}
+        assert {k: [round(x, 12) for x in v] for k, v in got.items()} == {1: [0.6, 0.8], 6: [1.0, 0.0], 7: [round(0.5**0.5, 12)] * 2 + [0.0]}
+    assert list(_unit([b.slice(0, 1)])) == []
