@@ -202,12 +202,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that ``near_duplicates`` keeps, one for each class; all columns of docs.
 
-    Rows without an id are kept as they are. Of rows that repeat a kept doc_id, one stays.
+    Rows without an id are kept as they are. Of rows that repeat a kept doc_id, the one with the
+    least text stays, of equal texts the one with the least hash of its columns.
     """
     classes = near_duplicates(docs, k, percent)
     gone = classes.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
-    twice = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    twice = hold(classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(rekeyed(F.col("doc_id")).alias("twice")))
     if twice.isEmpty():
         return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*hashable))).alias("_row"))
+    once = left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti")
+    return once.unionByName(least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

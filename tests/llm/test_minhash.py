@@ -130,3 +130,11 @@ def test_components(spark):
     out = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r["node"]: r["component"] for r in out} == {i: root(i) for i in parent} and len(out) == len(parent)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_of_repeated_ids_the_least_text_stays(spark):
+    rows = [(1, "b c d", "x"), (1, "a c d", "z"), (1, "a c d", "y"), (None, "a c d", "n"), (None, "a c d", "n"), (4, "other words here", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted((tuple(r) for r in deduplicated(d, 3, 85).collect()), key=str) for d in (docs, docs.repartition(5), docs.orderBy("source"))]
+    assert got[0] == got[1] == got[2]
+    assert [r[:2] for r in got[0]] == [(1, "a c d"), (4, "other words here"), (None, "a c d"), (None, "a c d")]

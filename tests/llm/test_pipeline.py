@@ -68,3 +68,21 @@ def test_empty_table(spark, sf, tmp_path):
     shutil.copy(f"{sf}/labels.parquet", tmp_path / "labels.parquet")
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_what_operators_leave_is_freed(spark, sf, tmp_path):
+    import os
+
+    from evenkeel.llm import common, minhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    kept = common.materialize(docs, "kept")
+    out = common.materialize(minhash.near_duplicates(docs), "out")
+    other = common.materialize(docs.select("doc_id"), "other")
+    path = lambda df: df._evenkeel_path.removeprefix("file://")
+    common.free(spark, kept, out)
+    assert os.path.exists(path(kept)) and out.count() == 50 and not os.path.exists(path(other))
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert all(getattr(x, "_evenkeel_path", None) in (kept._evenkeel_path, out._evenkeel_path) for x in common._MADE if x.sparkSession is spark)
+    common.free(spark)
+    assert not os.path.exists(path(kept))
