@@ -14,6 +14,7 @@ import logging
 import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -32,7 +33,9 @@ BROADCAST_ROWS = 200_000
 MAX_KEYS = 100_000
 #: Types whose values are equal exactly if their literals are, and which scans can filter by.
 _LITERAL = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.DateType())
-_ROW, _COLUMN, _CELLS = "_ek_row", "_ek_column", "_ek_cells"
+#: Types of which equal values have equal hashes, so that rows can be placed by them.
+_HASHED = (*_LITERAL, T.BooleanType(), T.FloatType(), T.DoubleType(), T.BinaryType(), T.TimestampType(), T.TimestampNTZType())
+_ROW, _COLUMN, _CELLS, _PART = "_ek_row", "_ek_column", "_ek_cells", "_ek_part"
 
 
 def _name(x):
@@ -161,18 +164,41 @@ def _found(side: DataFrame, on: list[str], table: DataFrame) -> DataFrame:
     return side.join(F.broadcast(table), on, "left")
 
 
-def celled(big: DataFrame, small: DataFrame, on: list[str], cells: DataFrame, method: str = "shuffle_hash") -> DataFrame:
-    """One join: each key of cells (*on, rows, columns) has a grid of its own, other keys one cell.
+def _met(big: DataFrame, small: DataFrame, on: list[str], more: list[str], part: Column, n: int, method: str) -> DataFrame:
+    """The join on keys and more columns, with each row in the partition that ``part`` says, or where a hash of its key says if that is null.
 
-    A big row goes to one column and all rows of its key's grid, a small row to one row and all columns.
+    Placing rows keeps cells of hot keys from meeting in one partition by chance. Keys of other types
+    than _HASHED are left to the join's own exchanges.
     """
-    table = cells.select(*on, F.struct("rows", "columns").alias(_CELLS))
+    kinds = [(_type(big, c), _type(small, c)) for c in on]
+    if any(x != y or not (x in _HASHED or isinstance(x, T.DecimalType)) for x, y in kinds):
+        return big.join(small.hint(method), [*on, *more]).drop(*more, _CELLS)
+    at = F.coalesce(part, F.pmod(F.hash(*[F.col(f"`{c}`") for c in on]), F.lit(n)))
+    sides = [x.withColumn(_PART, at.cast("int")).drop(_CELLS).repartitionById(n, _PART) for x in (big, small)]
+    return sides[0].join(sides[1].hint(method), [_PART, *on, *more]).drop(_PART, *more)
+
+
+def _matching(side: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that have a key, as no others match."""
+    for c in on:
+        side = side.where(F.col(f"`{c}`").isNotNull())
+    return side
+
+
+def celled(big: DataFrame, small: DataFrame, on: list[str], cells: DataFrame, n: int, method: str = "shuffle_hash") -> DataFrame:
+    """One join over n partitions: each key of cells (*on, rows, columns, first) has a grid of its own, dealt to partitions in turn from first on.
+
+    A big row goes to one column and all rows of its key's grid, a small row to one row and all
+    columns. Keys without a grid have one cell, by a hash.
+    """
+    table = cells.select(*on, F.struct("rows", "columns", "first").alias(_CELLS))
     r, c = F.coalesce(F.col(_CELLS)["rows"], F.lit(1)), F.coalesce(F.col(_CELLS)["columns"], F.lit(1))
     sides = []
     for side, own, other, n_own, n_other in ((big, _COLUMN, _ROW, c, r), (small, _ROW, _COLUMN, r, c)):
-        x = _found(side, on, table).withColumn(own, F.when(n_own > 1, _salt(side, n_own)).otherwise(0))
-        sides.append(x.withColumn(other, F.explode(_upto(n_other))).drop(_CELLS))
-    return sides[0].join(sides[1].hint(method), [*on, _ROW, _COLUMN]).drop(_ROW, _COLUMN)
+        x = _found(_matching(side, on), on, table).withColumn(own, F.when(n_own > 1, _salt(side, n_own)).otherwise(0))
+        sides.append(x.withColumn(other, F.explode(_upto(n_other))))
+    part = F.pmod(F.col(_CELLS)["first"] + F.col(_ROW) * F.col(_CELLS)["columns"] + F.col(_COLUMN), F.lit(n))
+    return _met(*sides, on, [_ROW, _COLUMN], part, n, method)
 
 
 def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
@@ -200,8 +226,9 @@ def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
 
 
 def _cells(spark, hot: Hot, shapes: dict) -> DataFrame:
-    schema = T.StructType([*(hot.schema[c] for c in hot.on), *T.StructType.fromDDL("rows int, columns int").fields])
-    return spark.createDataFrame([(*k, rows, columns) for k, rows, columns in shapes.values()], schema)
+    schema = T.StructType([*(hot.schema[c] for c in hot.on), *T.StructType.fromDDL("rows int, columns int, first long").fields])
+    firsts = accumulate((rows * columns for _, rows, columns in shapes.values()), initial=0)
+    return spark.createDataFrame([(*k, rows, columns, first) for (k, rows, columns), first in zip(shapes.values(), firsts)], schema)
 
 
 def _renamed(big: DataFrame, small: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]:
@@ -251,7 +278,7 @@ def skew_join(big: DataFrame, small: DataFrame, on: str | list[str], strategy: s
         out = _planned(big, small, on, hot, n, tolerance, ratio, method)
     elif strategy in ("auto", "pnr"):
         shapes = grids(hot, hot_small, n, least=1 if strategy == "auto" else min(2, n))
-        out = celled(big, small, on, _cells(spark, hot, shapes), method) if shapes else plain(big, small, on, method)
+        out = celled(big, small, on, _cells(spark, hot, shapes), n, method) if shapes else plain(big, small, on, method)
         log.info("%s: %d keys have grids", strategy, len(shapes))
     else:
         return _staying(big, small, on, hot, hot_small, n, ratio, pick, method)
@@ -298,11 +325,12 @@ def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int,
         slots[i].append((lo, hi, bucket))
     table = hot.frame(big.sparkSession, f"{_CELLS} struct<cnt:long,slots:array<struct<lo:long,hi:long,bucket:int>>>", [((c, x),) for c, x in zip(counts, slots)])
     at = F.pmod(_place(big), F.col(_CELLS)["cnt"])
-    b = _found(big, on, table).withColumn("_ek_at", at)
-    b = b.withColumn(_COLUMN, F.coalesce(F.get(F.filter(F.col(_CELLS)["slots"], lambda x: (x["lo"] <= F.col("_ek_at")) & (F.col("_ek_at") < x["hi"])), F.lit(0))["bucket"], F.lit(-1))).drop(_CELLS, "_ek_at")
+    b = _found(_matching(big, on), on, table).withColumn("_ek_at", at)
+    slot = F.get(F.filter(F.col(_CELLS)["slots"], lambda x: (x["lo"] <= F.col("_ek_at")) & (F.col("_ek_at") < x["hi"])), F.lit(0))["bucket"]
+    b = b.withColumn(_COLUMN, F.coalesce(slot, F.lit(-1))).drop("_ek_at")
     to = F.array_distinct(F.transform(F.col(_CELLS)["slots"], lambda x: x["bucket"]))
-    s = _found(small, on, table).withColumn(_COLUMN, F.explode(F.coalesce(to, F.array(F.lit(-1))))).drop(_CELLS)
-    return b.join(s.hint(method), [*on, _COLUMN]).drop(_COLUMN)
+    s = _found(_matching(small, on), on, table).withColumn(_COLUMN, F.explode(F.coalesce(to, F.array(F.lit(-1)))))
+    return _met(b, s, on, [_COLUMN], F.when(F.col(_COLUMN) >= 0, F.col(_COLUMN)), n, method)
 
 
 def _few(rows: DataFrame, keys: int, other: Hot | None) -> bool:
@@ -340,7 +368,7 @@ def _staying(big: DataFrame, small: DataFrame, on: list[str], hot_big: Hot, hot_
     if stay_small:
         rest_b, rest_s = (stay_small.of(x, False) for x in (rest_b, rest_s))
     shapes = {k: v for k, v in grids(hot_big, hot_small, n).items() if k in twice} if twice else {}
-    out = [(celled(rest_b, rest_s, on, _cells(big.sparkSession, hot_big, shapes), method) if shapes else plain(rest_b, rest_s, on, method)).select(*pick)]
+    out = [(celled(rest_b, rest_s, on, _cells(big.sparkSession, hot_big, shapes), n, method) if shapes else plain(rest_b, rest_s, on, method)).select(*pick)]
     if stay_big:
         copied = stay_big.of(small, True)
         out.append(_kept(stay_big.of(big, True), copied, on, n, pick, method, _few(copied, len(stay_big.rows), hot_small)))
