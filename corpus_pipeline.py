@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.llm import langid, minhash, mixing, packing, quality
-from evenkeel.llm.common import materialize
+from evenkeel.llm.common import free, made, materialize
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again; what a stage needed goes once it is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        free(spark, docs, but=before)
     return docs
