@@ -78,21 +78,26 @@ def release(*frames: DataFrame) -> None:
         df.unpersist()
 
 
-def free(spark: SparkSession, *kept: DataFrame) -> None:
-    """Drops all that operators of this session have held or written, but for kept tables.
+def made() -> set[int]:
+    """What there is now of what operators hold or have written, for ``free`` to leave alone."""
+    return set(map(id, _MADE))
+
+
+def free(spark: SparkSession, *kept: DataFrame, but: set[int] = frozenset()) -> None:
+    """Drops all that operators of this session have held or written, but for kept tables and what ``made`` told earlier.
 
     For when results have been written or read, as plans that aren't run yet need what they read. At its
     end a session deletes what it has written anyway.
     """
-    keep = {getattr(df, "_evenkeel_path", None) for df in kept}
-    for df in [x for x in _MADE if x.sparkSession is spark]:
+    keep = {df._evenkeel_path for df in kept if hasattr(df, "_evenkeel_path")}
+    for df in [x for x in _MADE if x.sparkSession is spark and id(x) not in but]:
         path = getattr(df, "_evenkeel_path", None)
+        if path in keep:
+            continue
         if path is None:
             df.unpersist()
-        elif path not in keep:
-            discard(df)
         else:
-            continue
+            discard(df)
         _MADE[:] = [x for x in _MADE if x is not df]
 
 

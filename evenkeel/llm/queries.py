@@ -85,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries whose last stage only handles small rows: their results are in few files. The others' last stages
 #: read texts or ids, and keep a task for each of their partitions.
-SLIM = {"op1_pq", "op3_mixing", "op5_quality", "op6_urls", "op9_minhash"}
+SLIM = {"op1_pq", "op3_mixing", "op5_quality", "op9_minhash"}
 
 
 def queries() -> dict:

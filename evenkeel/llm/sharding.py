@@ -67,7 +67,11 @@ def placed(rows: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS)
 
 
 def write_sharded(rows: DataFrame, key: str, shards: Sequence[str], path: str, slots: int = SLOTS, spread: int = 1) -> None:
-    """Writes rows below path, a folder a shard; ``spread`` tasks share each shard, so that none is one task's."""
+    """Writes rows below path, a folder a shard; ``spread`` tasks share each shard, so that none is one task's.
+
+    Rows are spread by their contents and where they are read, so a shard's tasks also share the rows of one key.
+    """
     out = placed(rows, key, shards, slots)
-    part = F.pmod(F.xxhash64("slot", F.col(key)), F.lit(spread))
-    out.repartition(len(shards) * spread, "shard", part).write.partitionBy("shard").parquet(path)
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(spread))
+    out.withColumn("_ek_part", part).repartition(len(shards) * spread, "shard", "_ek_part").drop("_ek_part").write.partitionBy("shard").parquet(path)

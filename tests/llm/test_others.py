@@ -146,6 +146,10 @@ def test_placement(spark, tmp_path):
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     sharding.write_sharded(df, "doc_id", names, str(tmp_path / "out"), 101, spread=2)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+    hot = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    sharding.write_sharded(hot, "doc_id", names, str(tmp_path / "hot"), 101, spread=8)
+    files = spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name().alias("f")).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 4000
 
 
 # Ogg --------------------------------------------------------------------------------------------

@@ -76,10 +76,13 @@ def test_what_operators_leave_is_freed(spark, sf, tmp_path):
     from evenkeel.llm import common, minhash
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    earlier, before = common.materialize(docs.limit(3), "earlier"), common.made()
     kept = common.materialize(docs, "kept")
     out = common.materialize(minhash.near_duplicates(docs), "out")
     other = common.materialize(docs.select("doc_id"), "other")
     path = lambda df: df._evenkeel_path.removeprefix("file://")
+    common.free(spark, kept, out, but=before)
+    assert os.path.exists(path(earlier))
     common.free(spark, kept, out)
     assert os.path.exists(path(kept)) and out.count() == 50 and not os.path.exists(path(other))
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
