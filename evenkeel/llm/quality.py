@@ -26,7 +26,7 @@ _TOKEN = re.compile(rb"[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f]+|[0-9A-Za-z\x80-\xff
 _REPEAT, _CAPS = 1, 2
 SLACK = 3.0
 #: A document is weighed as one of so many n-grams with its mean ratio: the inverse of the draw's temperature.
-LENGTH = 32.0
+LENGTH = 16.0
 #: Clean labelled documents that target texts and the level are taken from, about so many at most; their ids are broadcast.
 LABELS = 200_000
 
