@@ -16,9 +16,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.placement import grid
 from ..operators import detect
@@ -52,6 +54,14 @@ def _type(side: DataFrame, column: str) -> T.DataType:
     return side.select(F.col(f"`{column}`")).schema[0].dataType
 
 
+def _table(spark: SparkSession, rows: list[tuple], schema: T.StructType, keys: int) -> DataFrame:
+    """A small table of which the first columns are keys; with plain keys it goes to the JVM at once, without a job."""
+    if rows and all(f.dataType in _LITERAL for f in schema.fields[:keys]):
+        names = schema.fieldNames()
+        return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=to_arrow_schema(schema)), schema)
+    return spark.createDataFrame(rows, schema)
+
+
 @dataclass
 class Hot:
     """A side's hot keys, fewer than 1 / ratio: rows (*on, cnt) by falling count, and the side's number of rows.
@@ -80,7 +90,7 @@ class Hot:
     def frame(self, spark, extra: str = "", values: list[tuple] | None = None) -> DataFrame:
         """The keys as a table, with more columns of the given types and values."""
         schema = T.StructType([*(self.schema[c] for c in self.on), *T.StructType.fromDDL(extra).fields] if extra else [self.schema[c] for c in self.on])
-        return spark.createDataFrame([(*k, *v) for k, v in zip(self.keys(), values or [()] * len(self.rows))], schema)
+        return _table(spark, [(*k, *v) for k, v in zip(self.keys(), values or [()] * len(self.rows))], schema, len(self.on))
 
     def of(self, side: DataFrame, hot: bool) -> DataFrame:
         """The rows of a side whose key is in the set, or isn't. Rows with a null key join nothing and may be in neither.
@@ -228,7 +238,7 @@ def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
 def _cells(spark, hot: Hot, shapes: dict) -> DataFrame:
     schema = T.StructType([*(hot.schema[c] for c in hot.on), *T.StructType.fromDDL("rows int, columns int, first long").fields])
     firsts = accumulate((rows * columns for _, rows, columns in shapes.values()), initial=0)
-    return spark.createDataFrame([(*k, rows, columns, first) for (k, rows, columns), first in zip(shapes.values(), firsts)], schema)
+    return _table(spark, [(*k, rows, columns, first) for (k, rows, columns), first in zip(shapes.values(), firsts)], schema, len(hot.on))
 
 
 def _renamed(big: DataFrame, small: DataFrame, on: list[str]) -> tuple[DataFrame, list[str]]:
@@ -322,8 +332,8 @@ def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int,
     counts = [r["cnt"] or most for r in hot.rows]
     slots: list[list] = [[] for _ in counts]
     for i, bucket, lo, hi in plan(list(enumerate(counts)), n, tolerance, light=max(1, int(1 / ratio))):
-        slots[i].append((lo, hi, bucket))
-    table = hot.frame(big.sparkSession, f"{_CELLS} struct<cnt:long,slots:array<struct<lo:long,hi:long,bucket:int>>>", [((c, x),) for c, x in zip(counts, slots)])
+        slots[i].append({"lo": lo, "hi": hi, "bucket": bucket})
+    table = hot.frame(big.sparkSession, f"{_CELLS} struct<cnt:long,slots:array<struct<lo:long,hi:long,bucket:int>>>", [({"cnt": c, "slots": x},) for c, x in zip(counts, slots)])
     at = F.pmod(_place(big), F.col(_CELLS)["cnt"])
     b = _found(_matching(big, on), on, table).withColumn("_ek_at", at)
     slot = F.get(F.filter(F.col(_CELLS)["slots"], lambda x: (x["lo"] <= F.col("_ek_at")) & (F.col("_ek_at") < x["hi"])), F.lit(0))["bucket"]
