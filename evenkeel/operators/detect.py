@@ -30,13 +30,13 @@ def heavy_exact(rows: DataFrame, key: str, ratio: float = 0.001, floor: int = 10
 
 def heavy_local(rows: DataFrame, key: str, sender: str, heavy: DataFrame) -> DataFrame:
     """(sender, key, cnt): each sender's rows of the keys in ``heavy``."""
-    return rows.join(F.broadcast(heavy.select(key)), key, "left_semi").groupBy(sender, key).agg(F.count("*").alias("cnt"))
+    return rows.join(heavy.select(key), key, "left_semi").groupBy(sender, key).agg(F.count("*").alias("cnt"))
 
 
 def flagged_static(rows: DataFrame, key: str, statistics: DataFrame) -> DataFrame:
-    """rows with ``heavy``: whether their key is listed, from its first row on. Statistics must fit one task."""
+    """rows with ``heavy``: whether their key is listed, from its first row on. Lists may be of any size: Spark broadcasts those it sees to be small."""
     listed = statistics.select(F.col(key).alias("_listed")).distinct()
-    return rows.join(F.broadcast(listed), rows[key] == listed["_listed"], "left").withColumn("heavy", F.col("_listed").isNotNull()).drop("_listed")
+    return rows.join(listed, rows[key] == listed["_listed"], "left").withColumn("heavy", F.col("_listed").isNotNull()).drop("_listed")
 
 
 def flagged_online(rows: DataFrame, key: str, sender: str, order: list[str], ratio: float = 0.001, floor: int = 10) -> DataFrame:

@@ -37,7 +37,8 @@ MAX_KEYS = 100_000
 _LITERAL = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.DateType())
 #: Types of which equal values have equal hashes, so that rows can be placed by them.
 _HASHED = (*_LITERAL, T.BooleanType(), T.FloatType(), T.DoubleType(), T.BinaryType(), T.TimestampType(), T.TimestampNTZType())
-_ROW, _COLUMN, _CELLS, _PART = "_ek_row", "_ek_column", "_ek_cells", "_ek_part"
+_WHOLE = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
+_ROW, _COLUMN, _CELLS, _CELL, _PART, _HASH, _OTHER = "_ek_row", "_ek_column", "_ek_cells", "_ek_cell", "_ek_part", "_ek_hash", "_ek_other"
 
 
 def _name(x):
@@ -174,18 +175,33 @@ def _found(side: DataFrame, on: list[str], table: DataFrame) -> DataFrame:
     return side.join(F.broadcast(table), on, "left")
 
 
-def _met(big: DataFrame, small: DataFrame, on: list[str], more: list[str], part: Column, n: int, method: str) -> DataFrame:
-    """The join on keys and more columns, with each row in the partition that ``part`` says, or where a hash of its key says if that is null.
+def _met(big: DataFrame, small: DataFrame, on: list[str], n: int, method: str) -> DataFrame:
+    """The join on keys and _ek_cell, with each row in partition _ek_part, or where a hash of its key says if that is null.
 
-    Placing rows keeps cells of hot keys from meeting in one partition by chance. Keys of other types
-    than _HASHED are left to the join's own exchanges.
+    Placing rows keeps cells of hot keys from meeting in one partition by chance. Rows are looked up by
+    partition and hash, two ints that Spark packs into one long, and pairs are then compared by their
+    keys, as a condition that isn't taken as a join key. Keys of other types than _HASHED are left
+    to the join's own exchanges.
     """
     kinds = [(_type(big, c), _type(small, c)) for c in on]
     if any(x != y or not (x in _HASHED or isinstance(x, T.DecimalType)) for x, y in kinds):
-        return big.join(small.hint(method), [*on, *more]).drop(*more, _CELLS)
-    at = F.coalesce(part, F.pmod(F.hash(*[F.col(f"`{c}`") for c in on]), F.lit(n)))
-    sides = [x.withColumn(_PART, at.cast("int")).drop(_CELLS).repartitionById(n, _PART) for x in (big, small)]
-    return sides[0].join(sides[1].hint(method), [_PART, *on, *more]).drop(_PART, *more)
+        return big.drop(_PART).join(small.drop(_PART).hint(method), [*on, _CELL]).drop(_CELL)
+    named = [F.col(f"`{c}`") for c in on]
+    at = F.coalesce(_PART, F.pmod(F.hash(*named), F.lit(n))).cast("int")
+    own, its = (x.withColumns({_PART: at, _HASH: F.hash(*named, _CELL)}).repartitionById(n, _PART) for x in (big, small))
+    renamed = {c: f"{_OTHER}{i}" for i, c in enumerate(its.columns)}
+    of = lambda c: F.col(renamed.get(c) or next(x for y, x in renamed.items() if y.lower() == c.lower()))
+    met = (F.col(_PART) == of(_PART)) & (F.col(_HASH) == of(_HASH))
+    differ = F.col(_CELL).bitwiseXOR(of(_CELL))
+    for c, (kind, _) in zip(on, kinds):
+        x, y = F.col(f"`{c}`"), of(c)
+        if kind in _WHOLE:
+            differ = differ.bitwiseOR(x.cast("long").bitwiseXOR(y.cast("long")))
+        else:
+            met = met & (x <= y) & (x >= y)
+    gone = [*(of(c) for c in on), F.col(_PART), F.col(_HASH), F.col(_CELL), of(_PART), of(_HASH), of(_CELL)]
+    out = own.join(its.withColumnsRenamed(renamed).hint(method), met & (differ == 0)).drop(*gone)
+    return out.withColumnsRenamed({x: c for c, x in renamed.items()})
 
 
 def _matching(side: DataFrame, on: list[str]) -> DataFrame:
@@ -208,7 +224,8 @@ def celled(big: DataFrame, small: DataFrame, on: list[str], cells: DataFrame, n:
         x = _found(_matching(side, on), on, table).withColumn(own, F.when(n_own > 1, _salt(side, n_own)).otherwise(0))
         sides.append(x.withColumn(other, F.explode(_upto(n_other))))
     part = F.pmod(F.col(_CELLS)["first"] + F.col(_ROW) * F.col(_CELLS)["columns"] + F.col(_COLUMN), F.lit(n))
-    return _met(*sides, on, [_ROW, _COLUMN], part, n, method)
+    cell = F.shiftleft(F.col(_ROW).cast("long"), 32) + F.col(_COLUMN)
+    return _met(*(x.withColumns({_PART: part, _CELL: cell}).drop(_CELLS, _ROW, _COLUMN) for x in sides), on, n, method)
 
 
 def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
@@ -219,7 +236,8 @@ def grids(hot_big: Hot, hot_small: Hot | None, n: int, least: int = 1) -> dict:
     proportion that copies least. A key without a count has n columns.
     """
     sides = [dict(zip(h.names(), zip(h.keys(), h.rows))) if h else {} for h in (hot_big, hot_small)]
-    share = [max(1.0, h.total / n) if h and h.total else 1.0 for h in (hot_big, hot_small)]
+    # Of given keys the side's number of rows isn't known: their own rows stand for it.
+    share = [max(1.0, (h.total or sum(r["cnt"] or 0 for r in h.rows)) / n) if h else 1.0 for h in (hot_big, hot_small)]
     out = {}
     for name, (key, _) in {**sides[1], **sides[0]}.items():
         b, s = (x[name][1]["cnt"] if name in x else 0 for x in sides)
@@ -337,10 +355,10 @@ def _planned(big: DataFrame, small: DataFrame, on: list[str], hot: Hot, n: int,
     at = F.pmod(_place(big), F.col(_CELLS)["cnt"])
     b = _found(_matching(big, on), on, table).withColumn("_ek_at", at)
     slot = F.get(F.filter(F.col(_CELLS)["slots"], lambda x: (x["lo"] <= F.col("_ek_at")) & (F.col("_ek_at") < x["hi"])), F.lit(0))["bucket"]
-    b = b.withColumn(_COLUMN, F.coalesce(slot, F.lit(-1))).drop("_ek_at")
+    b = b.withColumn(_CELL, F.coalesce(slot, F.lit(-1)).cast("long")).drop("_ek_at")
     to = F.array_distinct(F.transform(F.col(_CELLS)["slots"], lambda x: x["bucket"]))
-    s = _found(_matching(small, on), on, table).withColumn(_COLUMN, F.explode(F.coalesce(to, F.array(F.lit(-1)))))
-    return _met(b, s, on, [_COLUMN], F.when(F.col(_COLUMN) >= 0, F.col(_COLUMN)), n, method)
+    s = _found(_matching(small, on), on, table).withColumn(_CELL, F.explode(F.coalesce(to, F.array(F.lit(-1))).cast("array<long>")))
+    return _met(*(x.withColumn(_PART, F.when(F.col(_CELL) >= 0, F.col(_CELL))).drop(_CELLS) for x in (b, s)), on, n, method)
 
 
 def _few(rows: DataFrame, keys: int, other: Hot | None) -> bool:
