@@ -125,20 +125,25 @@ def bounded_batches(spark: SparkSession, megabytes: int = 4) -> None:
         spark.conf.set(name, f"{megabytes << 20}b")
 
 
-def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, bucket: Column, fan: int = 1024) -> DataFrame:
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, bucket: Column, buckets: int | None = None, fan: int = 1 << 16) -> DataFrame:
     """rows with before: the sum of value over the rows ahead in their group of columns by, in the order (bucket, *order).
 
     Groups may be of any size, and by may be null: rows are added up in their bucket, buckets in runs of ``fan``,
-    and runs in their group, so no task sorts a group's rows. Buckets are whole numbers from 0 that
-    should hold some thousand rows at most.
+    and runs in their group, so no task sorts a group's rows or more than ``fan`` buckets. Buckets are whole
+    numbers from 0 that should hold some thousand rows at most; if there are known to be no more than ``fan``, they are one run.
     """
     ahead = lambda x, part, *at: F.coalesce(F.sum(x).over(Window.partitionBy(*part).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = lambda a, b, x: reduce(Column.__and__, [a[c].eqNullSafe(b[f"_{c}"]) for c in (*by, x)])
+    key = [F.col(c).alias(f"_{c}") for c in (*by, "_bucket")]
     out = rows.withColumns({"_bucket": bucket, "_value": value})
-    sums = out.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum")).withColumn("_run", F.floor(F.col("_bucket") / fan))
-    runs = sums.groupBy(*by, "_run").agg(F.sum("_sum").alias("_sum")).select(*[F.col(c).alias(f"_{c}") for c in (*by, "_run")], ahead("_sum", by, "_run").alias("_first"))
-    sums = sums.withColumn("_inner", ahead("_sum", (*by, "_run"), "_bucket"))
-    sums = sums.join(runs, same(sums, runs, "_run")).select(*[F.col(c).alias(f"_{c}") for c in (*by, "_bucket")], (F.col("_first") + F.col("_inner")).alias("_ahead"))
+    sums = out.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    if buckets is not None and buckets <= fan:
+        sums = sums.select(*key, ahead("_sum", by, "_bucket").alias("_ahead"))
+    else:
+        sums = sums.withColumn("_run", F.floor(F.col("_bucket") / fan))
+        runs = sums.groupBy(*by, "_run").agg(F.sum("_sum").alias("_sum")).select(*[F.col(c).alias(f"_{c}") for c in (*by, "_run")], ahead("_sum", by, "_run").alias("_first"))
+        sums = sums.withColumn("_inner", ahead("_sum", (*by, "_run"), "_bucket"))
+        sums = sums.join(runs, same(sums, runs, "_run")).select(*key, (F.col("_first") + F.col("_inner")).alias("_ahead"))
     out = out.withColumn("_inside", ahead("_value", (*by, "_bucket"), *order))
     return out.join(sums, same(out, sums, "_bucket")).select(*rows.columns, (F.col("_ahead") + F.col("_inside")).alias("before"))
 

@@ -130,12 +130,12 @@ def _permuted(sized: DataFrame) -> DataFrame:
     kept = [*sized.columns, "before"]
     many = hold(sized.groupBy("source", "h").agg(F.count("*").alias("copies"), F.first("size").alias("size")).where(F.col("copies") > COPIES))
     if many.isEmpty():
-        return ranked(sized, ["source"], ["h", "row"], F.col("size"), _bucket(n)).withColumn("bucket", _bucket(n))
+        return ranked(sized, ["source"], ["h", "row"], F.col("size"), _bucket(n), n).withColumn("bucket", _bucket(n))
     like = many.select(F.col("source").alias("s"), rekeyed(F.col("h")).alias("k"))
     alike = sized.source.eqNullSafe(like.s) & (sized.h == like.k)
     few = sized.join(like, alike, "left_anti").withColumn("words", F.col("size"))
     stand = many.select(F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), "source", "size", "h", F.lit(-1).cast("long").alias("row"), (F.col("size") * F.col("copies")).alias("words"))
-    both = ranked(few.unionByName(stand), ["source"], ["h", "row"], F.col("words"), _bucket(n))
+    both = ranked(few.unionByName(stand), ["source"], ["h", "row"], F.col("words"), _bucket(n), n)
     first = both.where("row < 0").select(F.col("source").alias("s"), rekeyed(F.col("h")).alias("k"), F.col("before").alias("first"))
     copies = sized.join(first, sized.source.eqNullSafe(first.s) & (sized.h == first.k)).drop("s", "k")
     inside = ranked(copies, ["source", "h"], ["row"], F.col("size"), F.shiftrightunsigned("row", 10)).withColumn("before", F.col("before") + F.col("first"))

@@ -245,7 +245,7 @@ BUCKET = 1024
 
 def _ranked(pieces: DataFrame, by: Sequence[str], value, buckets: int) -> DataFrame:
     """pieces with before: the sum of value over the pieces ahead in their group of columns by, ordered by a hash of row."""
-    return ranked(pieces, by, ["row"], value, F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    return ranked(pieces, by, ["row"], value, F.pmod(F.xxhash64("row"), F.lit(buckets)), buckets)
 
 
 def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:

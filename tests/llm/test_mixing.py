@@ -52,6 +52,19 @@ def test_targets_and_words_taken(spark, seed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mix.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken")).collect())) if None not in sizes else True
 
 
+@pytest.mark.parametrize("buckets,fan", [(50, 64), (None, 4), (50, 7)])
+def test_ranks_by_runs(spark, buckets, fan):
+    from evenkeel.llm.common import ranked
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2]), rng.choice(["a", None]), rng.randrange(50), i, rng.randrange(9)) for i in range(600)]
+    got = ranked(spark.createDataFrame(rows, "g int, t string, b int, i int, v int"), ["g", "t"], ["i"], F.col("v"), F.col("b"), buckets, fan).collect()
+    want = {r[3]: sum(x[4] for x in rows if x[:2] == r[:2] and (x[2], x[3]) < (r[2], r[3])) for r in rows}
+    assert {r["i"]: r["before"] for r in got} == want and got[0].asDict().keys() == {"g", "t", "b", "i", "v", "before"}
+    none = ranked(spark.createDataFrame(rows, "g int, t string, b int, i int, v int"), [], ["i"], F.lit(1), F.col("b"), buckets, fan).collect()
+    assert {r["i"]: r["before"] for r in none} == {r[3]: j for j, r in enumerate(sorted(rows, key=lambda r: (r[2], r[3])))}
+
+
 def test_only_what_the_tree_deals_is_taken(spark, monkeypatch):
     """Shards of the right half deal nothing: their blocks are in no mix, and what is left has the tree's shards."""
     docs = spark.createDataFrame([r for r in corpus(8, 400) if r[0] < 900], SCHEMA)
