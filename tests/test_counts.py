@@ -9,7 +9,7 @@ from evenkeel.plans import catalogue, joins
 
 from .test_joins import KEYS
 
-ALL = ["base", "prpd"]
+ALL = ["base", "prpd", "auto"]
 
 
 def counted(out):
