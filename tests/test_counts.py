@@ -9,7 +9,7 @@ from evenkeel.plans import catalogue, joins
 
 from .test_joins import KEYS
 
-ALL = ["base", "prpd", "auto", "bnr"]
+ALL = ["base", "prpd", "auto", "bnr", "flow"]
 
 
 def counted(out):
