@@ -5,11 +5,12 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.options import STRATEGIES
 from evenkeel.plans import catalogue, joins
 
 from .test_joins import KEYS
 
-ALL = ["base", "prpd", "auto", "bnr", "flow"]
+ALL = [*STRATEGIES, "auto"]
 
 
 def counted(out):
