@@ -95,7 +95,7 @@ def test_counts_of_names_types_and_composite_keys(spark, strategy, monkeypatch):
     assert catalogue._total(none).collect()[0]["result_rows"] == 0
 
 
-@pytest.mark.parametrize("strategy", ["base"])
+@pytest.mark.parametrize("strategy", ["base", "flow"])
 def test_placed_count_makes_no_pairs(spark, skewed, strategy):
     key = lambda i: 3 if i in (4, 5) else 1 if i % 10 < 3 else 2 if i % 10 == 3 else 1000 + i % N_SMALL
     big = Counter(map(key, range(N_BIG)))
@@ -105,7 +105,7 @@ def test_placed_count_makes_no_pairs(spark, skewed, strategy):
     assert join_rows(df) < 4 * (N_BIG + N_SMALL)
 
 
-@pytest.mark.parametrize("strategy", ["base"])
+@pytest.mark.parametrize("strategy", ["base", "flow"])
 def test_placed_counts_are_those_of_the_join(spark, strategy):
     """In each bucket, null keys and keys hot on either side included."""
     big, small, _, _ = tables(spark, 7)
