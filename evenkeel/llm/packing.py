@@ -286,11 +286,13 @@ def placed(lengths: DataFrame, window: int = 4096, unit: int = 8) -> DataFrame:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pieces(batches, dtype, with_ids: bool):
+def _pieces(batches, with_ids: bool):
+    """Pieces of (doc_id, doc_tokens, ids, pieces); ids are of 2 or 4 bytes, as the batch's lengths tell, so that no tokenizer is loaded for it."""
     names = [*(x.split()[0] for x in PIECE.split(", ")), *["ids"] * with_ids]
     for b in batches:
         data, pieces = b.column(2).cast(pa.binary()), b.column(3)
         bounds = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        dtype = np.dtype("<u4" if bounds[-1] - bounds[0] > 2 * (pc.sum(b.column(1)).as_py() or 0) else "<u2")
         ids = np.frombuffer(data.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]].view(dtype).astype("<u4")
         view = memoryview(ids).cast("B")
         parent = pc.list_parent_indices(pieces)
@@ -317,9 +319,8 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 4096, unit: int = 8, w
     pieces = placed(tokens.select("row", "doc_tokens"), window, unit)
     # One row for each document: a long one is not repeated for each of its pieces.
     held = pieces.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    dtype = _encoder(tokenizer).dtype
     rows = tokens.join(held, F.col("row") == F.col("r")).select("doc_id", "doc_tokens", "ids", "pieces")
-    return rows.mapInArrow(lambda it: _pieces(it, dtype, with_ids), PIECE + ", ids binary" * with_ids)
+    return rows.mapInArrow(lambda it: _pieces(it, with_ids), PIECE + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = 4096, pad: int = 0) -> DataFrame:

@@ -114,3 +114,28 @@ def test_combinations_and_repeats():
         for x in combo:
             used[x] += n if x else 0
     assert (used <= h).all() and used[12] == 5 and used[9] == 60 and used[4] >= 84
+
+
+def test_driver_loads_no_tokenizer(spark):
+    """Tables of vocabularies are large; only tasks need them."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    packing._encoder.cache_clear()
+    out = packing.packed(docs, PATH, 16, 4, with_ids=True)
+    assert packing._encoder.cache_info().currsize == 0
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u4").tolist()))
+    assert {d: sum((x for _, x in sorted(p)), []) for d, p in got.items()} == {i: brute_ids(t) for i, t in enumerate(ODD)}
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_pieces_of_ids_of_either_size(kind):
+    import pyarrow as pa
+
+    ids, piece = [[7, 2], [2], [1, 9, 2]], "start long, length long, sequence_id long, offset long"
+    kinds = pa.list_(pa.struct([(x.split()[0], pa.int64()) for x in piece.split(", ")]))
+    whole = [[{"start": 0, "length": len(x), "sequence_id": 0, "offset": 0}] for x in ids]
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(list(map(len, ids))), pa.array([np.array(x, kind).tobytes() for x in ids], pa.binary()), pa.array(whole, kinds)], ["doc_id", "doc_tokens", "ids", "pieces"])
+    for part in (b, b.slice(1), b.slice(0, 0)):
+        (out,) = packing._pieces([part], True)
+        assert [np.frombuffer(x, "<u4").tolist() for x in out.column(7).to_pylist()] == ids[3 - part.num_rows :] * bool(part.num_rows)
